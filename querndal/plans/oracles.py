@@ -1,0 +1,5 @@
+"""DuckDB SQL of the core queries."""
+
+from __future__ import annotations
+
+ORACLES: dict[str, str] = {}
