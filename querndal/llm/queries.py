@@ -9,6 +9,7 @@ from ..runtime import default_tokenizer_file, parallel, table
 from .corpus_encoding import encode_corpus
 from .leakage import leaked_items
 from .near_dup import near_duplicate_pairs
+from .sentences import split_sentences
 from .similar_vectors import similar_pairs
 from .site_lines import repeated_lines, strip_repeated_lines
 from .splitting import digits_or, split_oversized
@@ -56,4 +57,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(docs, table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_stripped, p4_found, p4_balanced, p5_found, p6_ids, p7_found)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_sentences(parallel(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_stripped, p4_found, p4_balanced, p5_found, p6_ids, p7_found, p8_found)}
