@@ -9,6 +9,7 @@ from ..runtime import default_tokenizer_file, parallel, table
 from .corpus_encoding import encode_corpus
 from .leakage import leaked_items
 from .near_dup import near_duplicate_pairs
+from .pair_defects import broken_pairs
 from .sentences import split_sentences
 from .similar_vectors import similar_pairs
 from .site_lines import repeated_lines, strip_repeated_lines
@@ -20,6 +21,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(dbs, "ord", "docs", threshold=0.6, width=5, min_tokens=20).toDF("ord_a", "ord_b")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return broken_pairs(parallel(table(spark, sf_dir, "handle_table").select("run_id", "prompt", "response")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(parallel(table(spark, sf_dir, "dbs").select("ord", "docs", "metadatas")))
 
@@ -61,4 +66,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(parallel(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_stripped, p4_found, p4_balanced, p5_found, p6_ids, p7_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_stripped, p4_found, p4_balanced, p5_found, p6_ids, p7_found, p8_found)}
