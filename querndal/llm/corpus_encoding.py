@@ -61,6 +61,8 @@ class Merges:
 
 def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all words, one after another, and where each word's begin (with the end)."""
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
     sizes = np.array([len(w) for w in words], np.int64)
     raw = np.frombuffer(b"\0".join([*words, b""]), np.uint8)  # one slot after each word stops merges
     symbol = merges.byte_ids[raw]
@@ -86,8 +88,7 @@ def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
                 index[r] = [places]
                 heapq.heappush(queue, r)
 
-    if len(raw) > 1:
-        post(np.flatnonzero(symbol >= 0))
+    post(np.flatnonzero(symbol >= 0))
     while queue:
         r = heapq.heappop(queue)
         found = index.pop(r)

@@ -79,7 +79,7 @@ _markup = re.compile(r"<[^<>]{0,200}>|&(?:nbsp|amp|lt|gt|quot|#\d+);|```[\w+-]*"
 _fence = re.compile(r"```.*?(?:```|$)", re.S)
 _object = re.compile(r"^\s*[\[{].*", re.S)
 _sentence_end = re.compile(r"(?<=[.!?])[\"”»)]*\s+|(?<=[。！？])[」』）]*|\n+")
-_noise = re.compile(r"https?://[!-~]+|[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.(?:txt|md|csv|json|pdf|docx|pptx|html?|py)(?![A-Za-z])|[A-Za-z0-9]*_[A-Za-z0-9_]*|(?<![A-Za-z])[a-z]+[A-Z][A-Za-z0-9]*|\d+")
+_noise = re.compile(r"https?://[!-~]+|(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.(?:txt|md|csv|json|pdf|docx|pptx|html?|py)(?![A-Za-z])|(?<![A-Za-z0-9_])[A-Za-z0-9]*_[A-Za-z0-9_]*|(?<![A-Za-z])[a-z]+[A-Z][A-Za-z0-9]*|\d+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _letters = re.compile(r"[^\W\d_]+")
 _courtesy = re.compile("|".join(x for x in COURTESIES.strip().split("\n")), re.I)

@@ -52,11 +52,12 @@ _right_word = re.compile(rf"[{_CJK}]{{1,2}}|[^{_WS}{_CJK}]+")
 _cjk = re.compile(f"[{_CJK}]")
 _title = re.compile(r"[^\W\d_a-z][^\W\d_A-Z]* ")
 _capital = re.compile(r"[¿¡„«“—\"(]*[^\W\d_a-z]")
+_number = re.compile(r"0(?:[.,:]0)*\.")
 _digits = re.compile(r"\d+")
 _thai_end = re.compile(f"[฀-๿][^{_WS}]*$")
 MID, FIRST, ADJACENT = 0, 1, 2
 #: Counts with which a left word's own ends outweigh those of words of its shape.
-FEW = 10.0
+FEW = 3.0
 #: Weight of the general distribution beside a left word's own counts.
 BACKOFF = 20.0
 #: The left word of a slot at a space after Thai.
@@ -150,6 +151,8 @@ def slots(p: str) -> tuple[list[Slot], Slot]:
         else:
             head = _left_word.search(p, max(0, a - 24), a)
             left, start = (_word(head.group()) if head else "") + m.group(), head.start() if head else a
+            if _number.match(left) and (before := p[max(0, start - 24) : start].split()):
+                left = f"{_word(before[-1])} {left}"  # a number says little: ``for 7.`` ends, ``Am 7.`` goes on
             if p[b - 1] in FREE_MARKS:
                 left = m.group()
             if opened:
