@@ -14,11 +14,15 @@ except ImportError:  # an older session without Python data sources
     DataSource = DataSourceReader = InputPartition = None
 
 
+def _field(name: str) -> Callable:
+    return lambda x: x[name]
+
+
 def write_questions(questions: DataFrame, path: str) -> None:
     """Question sets as JSON lines, one set of a style and type a line, with parallel arrays of questions and answers."""
     rows = F.sort_array(F.collect_list(F.struct("qid", "question", "choices", "answer")))
     sets = questions.groupBy("question_style", "question_type").agg(rows.alias("r"))
-    sets.select("question_style", "question_type", *[F.transform("r", lambda x, c=c: x[c]).alias(c) for c in ("qid", "question", "choices", "answer")]).write.mode("overwrite").json(path)
+    sets.select("question_style", "question_type", *[F.transform("r", _field(c)).alias(c) for c in ("qid", "question", "choices", "answer")]).write.mode("overwrite").json(path)
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
