@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..runtime import bounded
+from ..runtime import bounded, cut
 from .aggregates import top_by
 
 #: Most queries, and most distinct query words, of one broadcast.
@@ -109,8 +109,12 @@ def lexical(docs: DataFrame, queries: DataFrame, k: int, scheme: str = "bm25", t
     split = (lambda c: F.filter(tokenizer(c), lambda w: F.char_length(w) >= 2)) if scheme == "tfidf" else tokenizer
     worded = docs.select(F.col("ord").cast("bigint").alias("ord"), split(F.col("text")).alias("words")).where(F.col("words").isNotNull())
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), split(F.col("text")).alias("words")).where(F.size("words") > 0)
-    df = document_frequency(worded)
-    n, length = worded.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+    # One pass counts each word's documents and, under a word that no text holds, the documents and their words.
+    every = F.concat(F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("length"))), F.array(F.struct(F.lit("\n").alias("term"), F.size("words").alias("length"))))
+    counted = cut(worded.select(F.explode(every).alias("x")).groupBy("x.term").agg(F.count(F.lit(1)).alias("df"), F.sum("x.length").alias("length")))
+    whole = counted.where(F.col("term") == "\n").first()
+    n, length = (whole["df"], whole["length"] / whole["df"]) if whole else (0, 0.0)
+    df = counted.where(F.col("term") != "\n").select("term", "df")
     if scheme == "bm25":
         idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         floor = EPSILON * (df.agg(F.avg(idf)).first()[0] or 0.0) if n else 0.0

@@ -312,7 +312,7 @@ def rerank_stub(spark, d):
 
 
 def _hybrid(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), "text")
+    docs = parallel(table(spark, d, "documents").select(F.col("doc_id").alias("ord"), "text"))
     chunks = docs.join(_vectors(spark, d), "ord").where("text is not null")
     queries = chunks.where("ord % 50 = 0").select(F.col("ord").alias("query_id"), "text", "vector")
     return chunks, queries
