@@ -97,3 +97,50 @@ def create_questions(docs: DataFrame, generate, by: str = "source", order: str =
     drawn = full_windows(docs, by, order, text, size).join(disjoint_starts(docs, by, order, size, seed), [by, "start"])
     prompt = F.concat(F.lit("Write a question and its answer about this text, as 'question: ... answer: ...'.\n\n"), F.array_join("values", "\n"))
     return drawn.withColumn("qa", parse_question_answer(answer(prompt, generate))).where("qa is not null").select(by, "start", "qa.*")
+
+
+def create_topic_questions(found: DataFrame, generate) -> DataFrame:
+    """One generated question for each topic from the texts found for it: ``(query_id, question, answer)``.
+
+    ``found``: (query_id, place, text) as a search returns it.
+    """
+    from .models import answer
+
+    parts = F.sort_array(F.collect_list(F.struct("place", "text")))
+    texts = found.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("t"))
+    prompt = F.concat(F.lit("Write a question and its answer about this text, as 'question: ... answer: ...'.\n\n"), F.col("t"))
+    return texts.withColumn("qa", parse_question_answer(answer(prompt, generate))).where("qa is not null").select("query_id", "qa.*")
+
+
+def create_compare_questions(items: DataFrame, category: str, noun: str, order: str, generate, threshold: int = 3) -> DataFrame:
+    """One generated question that compares the nouns of each category with at least ``threshold`` of them: ``(category, question, answer)``."""
+    from .aggregates import same_category
+    from .models import answer
+
+    groups = same_category(items, category, noun, order, threshold)
+    prompt = F.concat(F.lit("Write a question that compares these, and its answer, as 'question: ... answer: ...'.\n\n"), F.col("category"), F.lit(": "), F.array_join("nouns", ", "))
+    return groups.withColumn("qa", parse_question_answer(answer(prompt, generate))).where("qa is not null").select("category", "qa.*")
+
+
+def evaluate(questions: DataFrame, contexts: DataFrame, model, judge=None) -> DataFrame:
+    """Answer and score every question: ``(qid, response, rouge, llm_score, hit)``.
+
+    ``questions``: (qid, question_style, question, choices, answer), ``contexts``: (qid, context), which may lack questions. Essays get ROUGE-L and
+    the first number of the judge's answer; single choice questions a hit if the response holds the answer's number.
+    """
+    from ..functions.text import first_number
+    from .aggregates import hit
+    from .models import answer
+
+    asked = questions.join(contexts.select("qid", "context"), "qid", "left")
+    prompt = F.concat(F.coalesce("context", F.lit("")), F.lit("\n\n"), format_question(F.col("question"), F.col("choices")))
+    done = asked.withColumn("response", answer(prompt, model))
+    essay = F.col("question_style") == "essay"
+    graded = first_number(answer(F.concat(F.lit("Grade from 0 to 1.\n\n"), F.coalesce("response", F.lit("")), F.lit("\n\n"), F.coalesce("answer", F.lit(""))), judge)) if judge else F.lit(None).cast("double")
+    return done.select("qid", "question_style", "question_type", "response", F.when(essay, rouge_l_score(F.col("response"), F.col("answer"))).alias("rouge"), F.when(essay, graded).alias("llm_score"), F.when(~essay, hit(F.col("response"), F.col("answer"))).alias("hit"))
+
+
+def evaluation_summary(scored: DataFrame) -> DataFrame:
+    """Means and accuracy of each question type, zeros where nothing was scored."""
+    mean = lambda c: F.coalesce(F.round(F.avg(c), 3), F.lit(0.0)).alias(c)
+    return scored.groupBy("question_type").agg(F.count(F.lit(1)).alias("n"), mean("rouge"), mean("llm_score"), mean("hit"))

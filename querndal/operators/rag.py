@@ -119,3 +119,19 @@ def search_memory(memory: DataFrame, queries: DataFrame, k: int = 3) -> DataFram
     """The k nearest memory texts of each query, each text once."""
     near = R.nearest(memory, queries, 4 * k, "l2").join(memory.select("ord", "text"), "ord")
     return fuse.concatenated(near.select("query_id", F.lit(0).alias("retriever_idx"), "rank", "ord", "text"), k)
+
+
+def web_answer(spark, engine: str, prompt: str, model: str | Callable = "stub:first_sentence", count: int = 5, budget: int = 3000) -> DataFrame:
+    """Ask over the results of a registered search engine."""
+    from ..sources.sinks import search_web
+
+    hits = search_web(spark, engine, prompt, count).select(F.lit(1).alias("ask"), F.xxhash64("url").alias("at"), "text")
+    return ask(hits, "ask", "at", "text", prompt, model, budget)
+
+
+def register_search(spark, view: str, name: str = "chunk_search") -> None:
+    """SQL table function ``name(q STRING, k INT)`` over a view (ord, text): the k rows that hold most of the query's words."""
+    words = "array_distinct(regexp_extract_all(lower({}), '[\\\\p{{L}}\\\\p{{M}}\\\\p{{N}}_]+', 0))"
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(q STRING, k INT) RETURNS TABLE(ord BIGINT, hits INT)
+      RETURN SELECT ord, hits FROM (SELECT ord, hits, row_number() OVER (ORDER BY hits DESC, ord) AS n FROM (
+        SELECT ord, size(array_intersect({words.format('text')}, {words.format('q')})) AS hits FROM {view}) WHERE hits > 0) WHERE n <= k""")

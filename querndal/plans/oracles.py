@@ -184,6 +184,10 @@ ORACLES = {
     "single_choice_build": """WITH b AS (SELECT qid, CAST(qid % 4 AS BIGINT) AS r, replace(choices[1], chr(10), '') AS a, list_transform(choices[2:4], lambda c: replace(c, chr(10), '')) AS w FROM questions WHERE choices IS NOT NULL),
       c AS (SELECT qid, r, list_concat(list_concat(w[1:r], [a]), w[r + 1:]) AS l FROM b)
       SELECT qid, array_to_string(list_concat(list_transform(l, lambda x, i: i::VARCHAR || '.' || x), [(r + 1)::VARCHAR]), '|') AS built FROM c""",
+    "compare_questions_stub": """WITH i AS (SELECT category, source, min(doc_id) AS place FROM documents WHERE category IS NOT NULL AND source IS NOT NULL GROUP BY ALL)
+      SELECT category, 'How do they differ?' AS question, string_agg(source, ', ' ORDER BY place, source) AS answer FROM i GROUP BY 1 HAVING count(*) >= 3""",
+    "search_function": f"""WITH s AS (SELECT doc_id AS ord, CAST(len(list_intersect(list_distinct({_tokens('text')}), list_distinct({_tokens("'How does the token counter handle chunks at night?'")}))) AS INTEGER) AS hits FROM documents)
+      SELECT ord, hits FROM s WHERE hits > 0 ORDER BY hits DESC, ord LIMIT 20""",
     "lineitem_flags": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem GROUP BY ALL",
     "orders_by_nation": "SELECT n_name, count(*) AS n_orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
 }

@@ -576,6 +576,34 @@ def create_questions_stub(spark, d):
     return E.create_questions(table(spark, d, "documents").where("source is not null").select(F.col("doc_id").alias("ord"), "source", F.col("text").alias("docs")), generate)
 
 
+@query
+def compare_questions_stub(spark, d):
+    generate = lambda p: f"question: How do they differ? answer: {p.split(': ')[-1]}"
+    return E.create_compare_questions(table(spark, d, "documents"), "category", "source", "doc_id", generate)
+
+
+@query
+def topic_questions_stub(spark, d):
+    chunks, queries = _hybrid(spark, d)
+    generate = lambda p: f"question: What is it about? answer: {len(p)}"
+    return E.create_topic_questions(rag.search(chunks, queries, "knn", 5, 300), generate)
+
+
+@query
+def evaluation_stub(spark, d):
+    questions = table(spark, d, "questions")
+    contexts = table(spark, d, "handle_table").where("qid is not null").groupBy("qid").agg(F.min(F.array_join("inputs", " ")).alias("context"))
+    return E.evaluation_summary(E.evaluate(questions, contexts, lambda p: p.split("\n")[-1], lambda p: f"{min(1.0, len(p) / 1000):.3f}"))
+
+
+@query
+def search_function(spark, d):
+    """The SQL table function over the documents, for one question."""
+    table(spark, d, "documents").select(F.col("doc_id").alias("ord"), "text").createOrReplaceTempView("searchable_documents")
+    rag.register_search(spark, "searchable_documents")
+    return spark.sql("SELECT ord, hits FROM chunk_search('How does the token counter handle chunks at night?', 20)")
+
+
 @query
 def memory_search(spark, d):
     turns = table(spark, d, "handle_table").select(F.col("run_id").alias("ord"), "prompt", "response", F.col("ts").alias("at"))
