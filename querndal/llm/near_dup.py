@@ -125,7 +125,7 @@ def near_duplicate_classes(records: DataFrame, id_col: str, text_col: str, thres
     members = signed.select("id", "f1", "f2").join(classes, ["f1", "f2"]).select("id", "rep", "copies")
     reps = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "signature", "bands")
     rows = reps.select(F.explode("bands").alias("key"), "id")
-    hot_list = hot_keys(rows, hot)
+    hot_list = hot_keys(signed.select(F.explode("bands").alias("key")), hot)
     candidates = cool_pairs(rows.where(~F.col("key").isin(hot_list)) if hot_list else rows, None).distinct()
     sig = signed.select("id", "signature")
 
