@@ -42,9 +42,9 @@ def bounded(df: DataFrame, max_rows: int, what: str) -> DataFrame:
 
 
 def parallel(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a one-file input over the session's task slots before heavy per-row work; no-op where it is spread already."""
+    """Spread an input of few partitions over the session's task slots before heavy per-row work; no-op where half of them are busy anyway."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
+    if 2 * df.rdd.getNumPartitions() > n:
         return df
     return df.repartition(n, *[F.col(k) for k in keys]) if keys else df.repartition(n)
 
