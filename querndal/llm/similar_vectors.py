@@ -124,7 +124,7 @@ def similar_vectors(
 
     rows = unique.mapInArrow(hashed, "key bigint, id bigint, s0 bigint, s1 bigint")
     limit = most_bits(min_cosine)
-    hot_list = hot_keys(rows, hot)
+    hot_list = hot_keys(vectors.mapInArrow(hashed, "key bigint, id bigint, s0 bigint, s1 bigint"), hot)
     cool = rows.where(~F.col("key").isin(hot_list)) if hot_list else rows
     candidates = cool_pairs(cool, lambda a, b: np.bitwise_count((a ^ b).view(U64)).sum(1) <= limit).distinct()
 
