@@ -149,13 +149,8 @@ def is_copy(prompt: str, response: str) -> bool:
 def is_refusal(response: str) -> bool:
     parts = [x.strip(" .!?。！？\"”“「」()") for x in _sentence_end.split(response)]
     parts = [x for x in parts if bare(x)]
-    found = False
-    for x in parts[:8]:
-        if _decline.search(x):
-            found = True
-        elif not _courtesy.fullmatch(x):
-            return False
-    return found and len(parts) <= 6
+    declines = [bool(_decline.search(x)) for x in parts]
+    return any(declines) and all(d or _courtesy.fullmatch(x) for d, x in zip(declines, parts, strict=True))
 
 
 def asked_language(prompt: str) -> str | None:
