@@ -24,7 +24,14 @@ found AS (
     GROUP BY site, m, n HAVING count(DISTINCT ord) >= 5 AND count(DISTINCT ord) * 10 >= n) USING (site, m))
 """
 
+_CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]"
+
 ORACLES = {
+    "p1_found": rf"""WITH t AS (SELECT ord, regexp_extract_all(regexp_replace(lower(docs), '({_CJK})', ' \1 ', 'g'), '{_CJK}|[\p{{L}}\p{{N}}]+') AS w FROM dbs WHERE docs IS NOT NULL),
+      g AS (SELECT DISTINCT ord, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT ord, w, unnest(generate_series(1, len(w) - 4)) AS i FROM t WHERE len(w) >= 20)),
+      n AS (SELECT ord, count(*) AS n FROM g GROUP BY 1),
+      p AS (SELECT a.ord AS ord_a, b.ord AS ord_b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.ord < b.ord GROUP BY ALL)
+      SELECT ord_a, ord_b FROM p JOIN n x ON x.ord = ord_a JOIN n y ON y.ord = ord_b WHERE 10 * k >= 6 * (x.n + y.n - k)""",
     "p3_found": f"WITH {_SITED} SELECT ord, CAST(line_no AS INTEGER) AS line_no FROM found",
     "p3_stripped": f"""WITH {_SITED},
       every AS (SELECT ord, docs, unnest(string_split(docs, chr(10))) AS line, generate_subscripts(string_split(docs, chr(10)), 1) - 1 AS line_no FROM dbs WHERE docs IS NOT NULL),
