@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.text import LANGUAGES, THINKING
+
 #: White space and word patterns as RE2 has them.
 _WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _NWS = _WS.replace("[", "[^", 1) + "+"
@@ -170,6 +172,8 @@ ORACLES = {
         regexp_matches(source, '^https?://') AS url, md5(docs) AS docs_md5 FROM p""",
     "category_clean": r"SELECT doc_id, coalesce(nullif(rtrim(regexp_replace(concat_ws(': ', category, title), '[^\p{L}\p{N}_ ]', '', 'g'), ' '), ''), 'uncategorized') AS clean FROM documents",
     "answer_digits": r"SELECT run_id, coalesce(round(try_cast(nullif(regexp_extract(response, '[0-9]+\.?[0-9]*'), '') AS DOUBLE), 3), 0.0) AS number, coalesce(nullif(regexp_extract(response, '[0-9]'), ''), '-1') AS digit FROM handle_table",
+    "language_names": "SELECT doc_id, CASE lower(trim(lang, ' ')) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LANGUAGES.items()) + " ELSE 'traditional chinese' END AS language FROM documents",
+    "thinking_budgets": "SELECT run_id, CAST(CASE run_id % 4 " + " ".join(f"WHEN {i} THEN greatest({floor}, ceil(length(coalesce(response, '')) * {share}::DOUBLE))" for i, (share, floor) in enumerate(THINKING.values())) + " END AS BIGINT) AS budget FROM handle_table",
     "trace_truncated": "SELECT ord, CAST(CASE WHEN length(docs) > 4000 THEN 4015 ELSE length(docs) END AS INTEGER) AS n_chars FROM dbs WHERE docs IS NOT NULL",
     "content_blocks": "SELECT run_id, md5(coalesce(response, '')) AS answer_md5, md5(coalesce(prompt, '')) AS thinking_md5 FROM handle_table",
     "prompt_messages": """SELECT run_id, CASE WHEN lower(split_part(model, ':', 1)) IN ('openai', 'remote', 'azure', 'anthropic') THEN 'chat_gpt' WHEN lower(split_part(model, ':', 1)) IN ('gemini', 'google') THEN 'chat_gemini'
