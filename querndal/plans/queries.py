@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -635,8 +635,7 @@ def stream_ingest(spark, d):
     """Ledger rows of files as a stream of file versions; the store keeps the newest of each."""
     from ..streaming.ingest import current_store, stream_files
 
-    shared_dir(spark)
-    base = tempfile.mkdtemp(prefix="stream-", dir=_local(spark))
+    base = _folder(spark)
     versions = f"{base}/in"
     table(spark, d, "ledger").where("kind = 'file' and item is not null").select("collection", "item", "mtime", F.concat_ws(" ", "item", "mtime").alias("text")).write.parquet(versions)
     items = spark.readStream.schema("collection string, item string, mtime double, text string").option("maxFilesPerTrigger", 4).parquet(versions)
@@ -644,13 +643,9 @@ def stream_ingest(spark, d):
     return current_store(spark, f"{base}/store").select("collection", "item", "text")
 
 
-def _local(spark: SparkSession) -> str:
-    """A folder below the shared checkpoint folder."""
-    import os
-
-    path = shared_dir(spark).removeprefix("file://").removeprefix("file:")
-    os.makedirs(path, exist_ok=True)
-    return path
+def _folder(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder, whatever file system holds it."""
+    return f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 @query
@@ -658,7 +653,7 @@ def stream_fetches(spark, d):
     """Windows of fetched urls over a stream of ledger rows with a watermark."""
     from ..streaming.ingest import stale_urls
 
-    base = tempfile.mkdtemp(prefix="stream-", dir=_local(spark))
+    base = _folder(spark)
     table(spark, d, "ledger").where("kind = 'url' and fetched_at is not null").select("item", "fetched_at").write.parquet(f"{base}/in")
     rows = spark.readStream.schema("item string, fetched_at timestamp").parquet(f"{base}/in")
     stale_urls(rows, "400 days", 30).writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
