@@ -17,42 +17,39 @@ from .models import answer, embed
 from .windows import prefix_within
 
 
-def search(chunks: DataFrame, queries: DataFrame, search_type: str = "auto", k: int = 20, budget: int = 3000, bm25_least: float = 70.0, knn_least: float = 0.9, pool: int = 100, scorer: Callable[[pd.Series, pd.Series], pd.Series] = R.overlap_scorer) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, search_type: str = "auto", k: int = 20, budget: int = 3000, bm25_least: float = 70.0, knn_least: float = 0.9, scorer: Callable[[pd.Series, pd.Series], pd.Series] = R.overlap_scorer) -> DataFrame:
     """The context of each query: ``(query_id, ord, text, place, total_words)``.
 
     ``chunks``: (ord, text, vector), ``queries``: (query_id, text, vector). Retrieves with the search type's retrievers and fuses them by text under the
-    word budget. ``pool`` bounds what MMR and rerankers look at.
+    word budget. MMR, custom functions and rerankers look at all chunks; ``auto_rerank`` at all within ``knn_least``.
     """
     texts = chunks.select("ord", "text")
     names = R.retrievers(search_type)
     lists: dict = {}
-    asked = queries.select("query_id", F.col("vector").alias("query_vector"))
-
-    def candidates() -> DataFrame:
-        near = R.nearest(chunks, queries, pool)
-        return near.select("query_id", "ord").join(chunks.select("ord", "text", "vector"), "ord").join(asked, "query_id")
+    asked_text = queries.select("query_id", F.col("text").alias("query"))
 
     for name in names:
         if callable(name):
-            lists[name] = R.custom(candidates(), name, k)
+            lists[name] = R.custom(chunks, queries, name, k)
+        elif search_type == "auto_rerank" and name == "knn":
+            lists[name] = R.above(chunks, queries, knn_least)
         elif name in ("knn", "l2"):
             lists[name] = R.nearest(chunks, queries, k, "cosine" if name == "knn" else "l2")
         elif name in ("bm25", "tfidf"):
             lists[name] = R.lexical(texts, queries.select("query_id", "text"), k, name)
         elif name == "mmr":
-            lists[name] = R.marginal_relevance(candidates(), k)
+            lists[name] = R.mmr(chunks, queries, k)
         elif name == "svm":
             lists[name] = R.exemplar_svm(chunks, queries, k)
         else:
-            asked_text = queries.select("query_id", F.col("text").alias("query"))
-            lists[name] = R.rerank(candidates().select("query_id", "ord", "text").join(asked_text, "query_id"), scorer).where(F.col("rank") <= k)
+            lists[name] = R.rerank(texts.crossJoin(asked_text), scorer).where(F.col("rank") <= k)
     full = {n: df.join(texts, "ord") for n, df in lists.items()}
     if search_type == "auto":
         out = fuse.auto(full["knn"], full["bm25"], budget, bm25_least)
     elif search_type == "auto_rerank":
-        asked_text = queries.select("query_id", F.col("text").alias("query"))
         again = R.rerank(full["knn"].select("query_id", "ord", "text").join(asked_text, "query_id"), scorer).join(texts, "ord")
-        out = fuse.auto_rerank(full["knn"], full["bm25"], again, budget, max(10, k // 10), knn_least, bm25_least)
+        n = chunks.where(F.exists("vector", lambda x: x != 0)).count()
+        out = fuse.auto_rerank(full["knn"], full["bm25"], again, budget, max(10, n // 10), knn_least, bm25_least)
     else:
         ranked = None
         for i, name in enumerate(names):

@@ -27,8 +27,8 @@ SLICE, WORDS = 2048, 200_000
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def _slices(queries: DataFrame, columns: list[str]) -> Iterator[list]:
-    n = max(1, -(-queries.count() // SLICE))
+def _slices(queries: DataFrame, columns: list[str], size: int = SLICE) -> Iterator[list]:
+    n = max(1, -(-queries.count() // size))
     for i in range(n):
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) if n > 1 else queries
         if rows := part.select("query_id", *columns).orderBy("query_id").collect():
@@ -200,6 +200,99 @@ def marginal_relevance(pool: DataFrame, k: int, weight: float = 0.5) -> DataFram
     return pool.groupBy("query_id").applyInPandas(choose, "query_id bigint, ord bigint, score double, rank int")
 
 
+def above(chunks: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """Every chunk ``(ord, vector)`` whose cosine with a query ``(query_id, vector)`` is at least ``least``: ``(query_id, ord, score, rank)``."""
+    found = []
+    for rows in _slices(queries.where("vector is not null"), ["vector"]):
+        q, ids = np.array([r[1] for r in rows], np.float64), np.array([r[0] for r in rows], np.int64)
+        shared = chunks.sparkSession.sparkContext.broadcast((q, ids))
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            q, ids = shared.value
+            with np.errstate(divide="ignore", invalid="ignore"):
+                unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+                for order, v in _matrices(batches, q.shape[1]):
+                    s = np.round((v / np.linalg.norm(v, axis=1, keepdims=True)) @ unit.T, 6)
+                    row, col = np.nonzero(s >= least)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[col]), pa.array(order[row]), pa.array(s[row, col])], ["query_id", "ord", "score"])
+
+        found.append(_of_width(chunks, q.shape[1]).mapInArrow(score, "query_id bigint, ord bigint, score double"))
+    if not found:
+        return chunks.sparkSession.createDataFrame([], "query_id bigint, ord bigint, score double, rank int")
+    return _merge(found, 2**31 - 1)
+
+
+def _of_width(chunks: DataFrame, width: int) -> DataFrame:
+    return chunks.select(F.col("ord").cast("bigint").alias("ord"), F.col("vector")).where(F.col("vector").isNotNull() & (F.size("vector") == width))
+
+
+def _matrices(batches: Iterator[pa.RecordBatch], width: int, rows: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``ord`` and vectors of the batches, a few rows at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            part = batch.slice(low, rows)
+            yield part.column(0).to_numpy(), part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
+def mmr(chunks: DataFrame, queries: DataFrame, k: int, weight: float = 0.5) -> DataFrame:
+    """MMR over all chunks ``(ord, vector)`` for each query ``(query_id, vector)``: k rows a query as ``(query_id, ord, score, rank)``.
+
+    The rule of ``marginal_relevance`` in k rounds: in each, every task finds its best row a query where it lies, and the best of all tasks is
+    chosen; only that row and its vector go to the driver. Null and zero vectors are never found. A slice's chosen vectors are broadcast
+    again each round, so slices get smaller as k grows.
+    """
+    spark = chunks.sparkSession
+    asked = queries.where("vector is not null")
+    first = asked.select(F.size("vector")).first()
+    schema = "query_id bigint, ord bigint, score double, rank int"
+    if first is None or k < 1:
+        return spark.createDataFrame([], schema)
+    width = first[0]
+    x = _of_width(chunks, width).persist()
+    out = []
+    for rows in _slices(asked, ["vector"], max(1, min(SLICE, 2**22 // (k * width)))):
+        q, ids = np.array([r[1] for r in rows], np.float64), np.array([r[0] for r in rows], np.int64)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+        chosen, taken = np.zeros((0, *unit.shape)), np.zeros((0, len(q)), np.int64)
+        for rank in range(1, k + 1):
+            shared = spark.sparkContext.broadcast((unit, chosen, taken))
+
+            def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                unit, chosen, taken = shared.value
+                top, at, vectors = np.full(len(unit), -np.inf), np.zeros(len(unit), np.int64), np.zeros(unit.shape)
+                for order, v in _matrices(batches, width):
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+                    s = np.round(v @ unit.T, 6)
+                    if len(chosen):
+                        near = np.round(v @ chosen[0].T, 6)
+                        for c in chosen[1:]:
+                            near = np.maximum(near, np.round(v @ c.T, 6))
+                        s = np.round(weight * s - (1 - weight) * near, 6)
+                        for t in taken:
+                            s[order[:, None] == t[None]] = np.nan
+                    row, col = best_rows(s, order, 1)
+                    better = (s[row, col] > top[col]) | ((s[row, col] == top[col]) & (order[row] < at[col]))
+                    row, col = row[better], col[better]
+                    top[col], at[col], vectors[col] = s[row, col], order[row], v[row]
+                got = np.flatnonzero(top > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(got.astype(np.int32)), pa.array(at[got]), pa.array(top[got]), pa.array(list(vectors[got]), pa.list_(pa.float64()))], ["q", "ord", "score", "v"])
+
+            found = x.mapInArrow(best, "q int, ord bigint, score double, v array<double>").groupBy("q").agg(F.max_by(F.struct("ord", "score", "v"), F.struct("score", -F.col("ord"))).alias("r")).select("q", "r.*").collect()
+            if not found:
+                break
+            # A query without any row left keeps NaN here, which is never found again.
+            new, ords = np.full(unit.shape, np.nan), np.full(len(q), -1, np.int64)
+            for r in found:
+                new[r[0]], ords[r[0]] = r[3], r[1]
+                out.append((int(ids[r[0]]), r[1], r[2], rank))
+            chosen, taken = np.concatenate([chosen, new[None]]), np.concatenate([taken, ords[None]])
+            shared.unpersist()
+    x.unpersist()
+    return spark.createDataFrame(out, schema)
+
+
 def exemplar_svm(chunks: DataFrame, queries: DataFrame, k: int, c: float = 0.1, rounds: int = 12) -> DataFrame:
     """k best chunks of each query by a linear SVM whose only positive is the query and whose negatives are all chunks.
 
@@ -280,15 +373,30 @@ def rerank(pool: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series],
     return top_by(scored, "query_id", 2**31 - 1)
 
 
-def custom(pool: DataFrame, search: Callable[[np.ndarray, np.ndarray, int], list[int]], k: int) -> DataFrame:
-    """``search(query vector, matrix, k) -> row numbers`` over a bounded pool ``(query_id, query_vector, ord, vector)``; its order is the rank."""
+def custom(chunks: DataFrame, queries: DataFrame, search: Callable[[np.ndarray, np.ndarray, int], list[int]], k: int) -> DataFrame:
+    """``search(query vector, matrix, k) -> row numbers`` over all chunks ``(ord, vector)`` in order of ``ord``; its order is the rank.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord", kind="stable")
-        at = list(search(np.asarray(group["query_vector"].iloc[0], np.float64), np.stack(group["vector"].to_numpy()), k))[:k]
-        return pd.DataFrame({"query_id": group["query_id"].iloc[0], "ord": group["ord"].to_numpy()[at], "rank": np.arange(1, len(at) + 1, dtype=np.int32)})
+    The function sees every vector at once, so each task holds the whole matrix: it is sent to at most as many tasks as the session has slots,
+    each with its share of the queries ``(query_id, vector)``.
+    """
+    schema, found = "query_id bigint, ord bigint, rank int", []
+    for rows in _slices(queries.where("vector is not null"), ["vector"]):
+        q, ids = np.array([r[1] for r in rows], np.float64), np.array([r[0] for r in rows], np.int64)
+        n, spark = min(len(rows), chunks.sparkSession.sparkContext.defaultParallelism), chunks.sparkSession
+        shared = spark.sparkContext.broadcast((q, ids))
 
-    return pool.groupBy("query_id").applyInPandas(run, "query_id bigint, ord bigint, rank int")
+        def run(t, *, shared=shared, n=n):
+            q, ids = shared.value
+            t = t.combine_chunks().sort_by("ord")
+            order, part = t.column("ord").to_numpy(), t.column("part")[0].as_py()
+            m = np.asarray(t.column("vector").combine_chunks().flatten()).astype(np.float64).reshape(len(order), -1)
+            got = [(i, order[np.asarray(list(search(q[i], m, k))[:k], np.int64)]) for i in range(part, len(q), n)]
+            sizes = [len(o) for _, o in got]
+            return pa.table({"query_id": np.repeat(ids[[i for i, _ in got]], sizes), "ord": np.concatenate([o for _, o in got]), "rank": np.concatenate([np.arange(1, s + 1, dtype=np.int32) for s in sizes])})
+
+        copies = _of_width(chunks, q.shape[1]).select("ord", "vector", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"))
+        found.append(copies.groupBy("part").applyInArrow(run, schema))
+    return reduce(DataFrame.unionAll, found) if found else chunks.sparkSession.createDataFrame([], schema)
 
 
 def overlap_scorer(query: pd.Series, text: pd.Series) -> pd.Series:

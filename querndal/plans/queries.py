@@ -253,14 +253,9 @@ def knn_store(spark, d):
     return R.nearest(v, v.where("ord % 50 = 0").select(F.col("ord").alias("query_id"), "vector"), 5).select("query_id", "ord", "score", "rank")
 
 
-def _pool(spark, d, n=50):
-    v, q = _vectors(spark, d), _vector_queries(spark, d)
-    return R.nearest(v, q, n).select("query_id", "ord").join(v, "ord").join(q.select("query_id", F.col("vector").alias("query_vector")), "query_id")
-
-
 @query
 def mmr_topk(spark, d):
-    return R.marginal_relevance(_pool(spark, d), 3)
+    return R.mmr(_vectors(spark, d), _vector_queries(spark, d), 3)
 
 
 @query
@@ -275,7 +270,7 @@ def custom_retriever(spark, d):
 
         return list(np.argsort(-((m - q) ** 2).sum(1), kind="stable")[:k])
 
-    return R.custom(_pool(spark, d), farthest, 3)
+    return R.custom(_vectors(spark, d), _vector_queries(spark, d), farthest, 3)
 
 
 @query

@@ -4,8 +4,9 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from querndal.operators import fuse
+from querndal.operators import fuse, rag
 from querndal.operators import retrieve as R
 from querndal.operators.evals import lcs, rouge_l
 
@@ -48,6 +49,32 @@ def test_marginal_relevance(vectors):
     assert sorted(r.ord for r in every) == [i for i in range(30) if i != 9]
 
 
+def test_mmr_and_custom_functions_see_every_row(spark):
+    x = np.random.default_rng(1).standard_normal((300, 8)).astype(np.float32)
+    chunks = spark.createDataFrame([(i, f"text {i}", v.tolist()) for i, v in enumerate(x)] + [(300, "zero", [0.0] * 8), (301, "none", None)], "ord bigint, text string, vector array<float>").repartition(3).cache()
+    q = chunks.where("ord in (0, 3, 20)").select(F.col("ord").alias("query_id"), "text", "vector")
+    places = lambda df: {(r.query_id, r.place): r.ord for r in df.collect()}
+    pool = chunks.where("ord < 300").crossJoin(q.select("query_id", F.col("vector").alias("query_vector")))
+    assert places(rag.search(chunks, q, "mmr", 5)) == {(r.query_id, r["rank"]): r.ord for r in R.marginal_relevance(pool, 5).collect()}
+    assert R.mmr(chunks.where("ord < 3"), q, 9).count() == 9 and R.mmr(chunks.limit(0), q, 3).count() == 0 and R.mmr(chunks, q.limit(0), 3).count() == 0
+    far = lambda v, m, k: list(np.argsort(-((m - v) ** 2).sum(1), kind="stable")[:k])
+    every = np.vstack([x, np.zeros((1, 8))]).astype(float)
+    assert places(rag.search(chunks, q, far, 4)) == {(i, n + 1): o for i in (0, 3, 20) for n, o in enumerate(far(every[i], every, 4))}
+    assert R.custom(chunks.limit(0), q, far, 3).count() == 0 and R.custom(chunks, q.limit(0), far, 3).count() == 0
+
+
+def test_auto_rerank_takes_all_rows_within_the_threshold(spark):
+    near = [[1.0, 0.001 * i] for i in range(25)]
+    rows = [(i, f"other {i}", v) for i, v in enumerate(near + [[-1.0, 0.1]] * 175)]
+    rows[24] = (24, "asked words", near[24])
+    chunks = spark.createDataFrame(rows, "ord bigint, text string, vector array<float>")
+    q = spark.createDataFrame([(0, "asked words", [1.0, 0.0])], "query_id bigint, text string, vector array<float>")
+    out = rag.search(chunks, q, "auto_rerank", 4).orderBy("place").collect()
+    assert [r.ord for r in out] == [24, *range(24)]
+    more = chunks.unionByName(chunks.where("ord > 124").withColumns({"ord": F.col("ord") + 200, "text": F.concat("text", F.lit(" more"))}))
+    assert [r.ord for r in rag.search(more, q, "auto_rerank", 4).orderBy("place").collect()][0] == 0
+
+
 def test_svm_ranks_the_query_first(vectors):
     _, df, q = vectors
     rows = R.exemplar_svm(df.where("ord <> 7"), q, 3).collect()
