@@ -646,13 +646,13 @@ def _folder(spark: SparkSession) -> str:
 @query
 def stream_fetches(spark, d):
     """Windows of fetched urls over a stream of ledger rows with a watermark."""
-    from ..streaming.ingest import stale_urls
+    from ..streaming.ingest import stale_urls, window_counts
 
     base = _folder(spark)
     table(spark, d, "ledger").where("kind = 'url' and fetched_at is not null").select("item", "fetched_at").write.parquet(f"{base}/in")
     rows = spark.readStream.schema("item string, fetched_at timestamp").parquet(f"{base}/in")
     stale_urls(rows, "400 days", 30).writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("start timestamp, urls bigint").parquet(f"{base}/out")
+    return window_counts(spark.read.schema("start timestamp, item string").parquet(f"{base}/out"))
 
 
 # Relational smoke

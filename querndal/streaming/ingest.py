@@ -42,6 +42,14 @@ def current_store(spark: SparkSession, store: str) -> DataFrame:
 
 
 def stale_urls(ledger: DataFrame, watermark: str, days: int) -> DataFrame:
-    """Windows of ``days`` in which urls were fetched, over a stream of ledger rows with late ones up to ``watermark``: ``(start, urls)``."""
-    w = F.window("fetched_at", f"{days} days")
-    return ledger.withWatermark("fetched_at", watermark).groupBy(w).agg(F.approx_count_distinct("item").alias("urls")).select(F.col("window.start").alias("start"), "urls")
+    """Each url once in each window of ``days`` in which it was fetched, over a stream of ledger rows with late ones up to ``watermark``: ``(start, item)``.
+
+    A pair is given when it is first seen, so no window waits for the watermark, which only bounds the state.
+    """
+    w = F.window("fetched_at", f"{days} days").alias("window")
+    return ledger.withWatermark("fetched_at", watermark).select(w, "item").dropDuplicates(["window", "item"]).select(F.col("window.start").alias("start"), "item")
+
+
+def window_counts(pairs: DataFrame) -> DataFrame:
+    """``(start, urls)`` of what ``stale_urls`` has written."""
+    return pairs.groupBy("start").agg(F.count("item").alias("urls"))

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from querndal.operators import aggregates as A
+from querndal.plans import queries as core
 from querndal.sources import files, ledger, sinks, store
-from querndal.streaming.ingest import current_store, stream_files
+from querndal.streaming.ingest import current_store, stale_urls, stream_files, window_counts
 
 
 def docx(text):
@@ -94,3 +95,19 @@ def test_stream(spark, tmp_path):
 
     assert run([("c", "a", 1.0, "a1"), ("c", "b", 1.0, "b1")]) == {("a", "a1"), ("b", "b1")}
     assert run([("c", "a", 2.0, "a2"), ("c", "b", 1.0, "ignored"), ("c", None, 1.0, "x")]) == {("a", "a2"), ("b", "b1")}
+
+
+def test_stream_fetches_counts_every_window(spark, sf):
+    rows = spark.read.parquet(f"{sf}/ledger.parquet").where("kind = 'url' and fetched_at is not null")
+    want = rows.groupBy(F.window("fetched_at", "30 days").start.alias("start")).agg(F.countDistinct("item").alias("urls"))
+    got = sorted(map(tuple, core.QUERIES["stream_fetches"](spark, sf).collect()))
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 1
+
+
+def test_fetches_of_later_batches_join_their_window(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    for hour, items in ((1, "ab"), (2, "bc")):
+        spark.createDataFrame([(x, f"2025-01-01 0{hour}:00:00") for x in items], "item string, at string").select("item", F.to_timestamp("at").alias("fetched_at")).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        pairs = stale_urls(spark.readStream.schema("item string, fetched_at timestamp").parquet(f"{base}/in"), "1 day", 1)
+        pairs.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert [r.urls for r in window_counts(spark.read.parquet(f"{base}/out")).collect()] == [3]
