@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_category, is_blank
 from . import fuse
 from . import retrieve as R
-from .aggregates import reference_texts
+from .aggregates import first_by_text, reference_texts
 from .chunking import pack_documents, split_reference
 from .models import answer, embed
 from .windows import prefix_within
@@ -113,8 +113,12 @@ def memory_entries(turns: DataFrame, categorise: str | Callable = lambda x: "gen
 
 
 def search_memory(memory: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
-    """The k nearest memory texts of each query, each text once."""
-    near = R.nearest(memory, queries, 4 * k, "l2").join(memory.select("ord", "text"), "ord")
+    """The k nearest memory texts of each query, each text once.
+
+    Equal texts have equal vectors; they are merged before the search, so that copies take no place of other texts.
+    """
+    once = first_by_text(memory.where("vector is not null").select("ord", "text", "vector"), "text")
+    near = R.nearest(once.select("ord", "vector"), queries, k, "l2").join(once.select("ord", "text"), "ord")
     return fuse.concatenated(near.select("query_id", F.lit(0).alias("retriever_idx"), "rank", "ord", "text"), k)
 
 

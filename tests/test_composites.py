@@ -39,6 +39,13 @@ def test_memory(spark):
     assert rag.search_memory(memory, asked(spark, "the key under the mat"), 1).collect()[0].ord == 0
 
 
+def test_memory_finds_k_texts_behind_copies(spark):
+    said = ["the key under the mat"] * 20 + ["the key under the rug"] * 15 + ["the key"]
+    turns = spark.createDataFrame([(i, t, "yes", None) for i, t in enumerate(said)], "ord bigint, prompt string, response string, at timestamp")
+    found = rag.search_memory(rag.memory_entries(turns), asked(spark, "the key under the mat"), 3).collect()
+    assert {r.ord for r in found} == {0, 20, 35} and {r.place for r in found} == {1, 2, 3}
+
+
 def test_evaluate(spark):
     schema = "qid int, question_style string, question_type string, question string, choices array<string>, answer string"
     q = spark.createDataFrame([(1, "essay", "fact", "q", None, "the cat"), (2, "single_choice", "fact", "q", ["a", "b"], "2"), (3, "essay", "summary", "q", None, None)], schema)
