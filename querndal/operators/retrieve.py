@@ -23,6 +23,8 @@ from .aggregates import top_by
 
 #: Most queries, and most distinct query words, of one broadcast.
 SLICE, WORDS = 2048, 200_000
+#: Most queries whose SVMs are solved together.
+SVM_SLICE = 256
 #: Okapi BM25.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -298,15 +300,24 @@ def exemplar_svm(chunks: DataFrame, queries: DataFrame, k: int, c: float = 0.1,
 
     Squared hinge with balanced class weights, solved by Newton steps: each round sums, in each task, the
     curvature and gradient of the rows within the margin (a (d+1) x (d+1) matrix a query), and the driver solves that small system. No
-    row leaves its task. Scores are decision values, ``score_norm`` scales them over all chunks and the query. Queries: one slice.
+    row leaves its task. Scores are decision values, ``score_norm`` scales them over all chunks and the query. Each slice of ``SVM_SLICE``
+    queries is solved on its own.
     """
-    q_rows = bounded(queries.select("query_id", "vector").where("vector is not null"), 256, "the query set").orderBy("query_id").collect()
     spark = chunks.sparkSession
     x = chunks.select(F.col("ord").cast("bigint"), "vector").where("vector is not null").persist()
     n = x.count()
-    if not q_rows or not n:
+    found = [_svm_slice(x, n, rows, k, c, rounds) for rows in _slices(queries.where("vector is not null"), ["vector"], SVM_SLICE)] if n else []
+    if not found:
         x.unpersist()
         return spark.createDataFrame([], "query_id bigint, ord bigint, score double, score_norm double, rank int")
+    every = reduce(DataFrame.unionAll, found)
+    bounds = every.groupBy("query_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return top_by(every.select("query_id", "ord", "score"), "query_id", k).join(bounds, "query_id").select("query_id", "ord", "score", F.round((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-6), 6).alias("score_norm"), "rank")
+
+
+def _svm_slice(x: DataFrame, n: int, q_rows: list, k: int, c: float, rounds: int) -> DataFrame:
+    """The best rows of each batch of the ``n`` chunks for some queries: ``(query_id, ord, score, lo, hi)``."""
+    spark = x.sparkSession
     normal = lambda v: v / np.where((m := np.linalg.norm(v, axis=-1, keepdims=True)) == 0, 1, m)
     q = np.hstack([normal(np.array([r[1] for r in q_rows], np.float64)), np.ones((len(q_rows), 1))])
     ids, d = np.array([r[0] for r in q_rows], np.int64), q.shape[1]
@@ -359,9 +370,7 @@ def exemplar_svm(chunks: DataFrame, queries: DataFrame, k: int, c: float = 0.1,
             lo, hi = np.minimum(s.min(0), own), np.maximum(s.max(0), own)
             yield pa.RecordBatch.from_arrays([pa.array(ids[col]), pa.array(order[row]), pa.array(s[row, col]), pa.array(lo[col]), pa.array(hi[col])], ["query_id", "ord", "score", "lo", "hi"])
 
-    every = x.mapInArrow(decide, "query_id bigint, ord bigint, score double, lo double, hi double")
-    bounds = every.groupBy("query_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return top_by(every.select("query_id", "ord", "score"), "query_id", k).join(bounds, "query_id").select("query_id", "ord", "score", F.round((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-6), 6).alias("score_norm"), "rank")
+    return x.mapInArrow(decide, "query_id bigint, ord bigint, score double, lo double, hi double")
 
 
 def rerank(pool: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series], threshold: float | None = None) -> DataFrame:

@@ -82,6 +82,16 @@ def test_svm_ranks_the_query_first(vectors):
     assert all(0 <= r.score_norm <= 1 for r in rows)
 
 
+def test_svm_takes_any_number_of_queries(vectors, monkeypatch):
+    _, df, q = vectors
+    few = {tuple(r) for r in R.exemplar_svm(df, q, 3).collect()}
+    many = q.sparkSession.range(300).join(q.where("query_id = 20").select("vector")).select(F.col("id").alias("query_id"), "vector")
+    rows = R.exemplar_svm(df, many, 1).collect()
+    assert {r.query_id for r in rows} == set(range(300)) and {r.ord for r in rows} == {20}
+    monkeypatch.setattr(R, "SVM_SLICE", 1)
+    assert {tuple(r) for r in R.exemplar_svm(df, q, 3).collect()} == few
+
+
 def test_bm25_and_tfidf(spark):
     texts = ["the cat sat", "the cat the cat", "a dog", "", "the dog sat on the cat mat"]
     docs = spark.createDataFrame([*enumerate(texts), (9, None)], "ord bigint, text string")
