@@ -1,12 +1,14 @@
 """Problem 1: near-duplicate texts by MinHash bands and sequential Bayesian verification.
 
 1. Texts with equal token sequences form a class; the rest works on one representative of each class.
-2. Bands of MinHash signatures propose candidate pairs (``buckets``).
+2. Bands of MinHash signatures propose candidate pairs (``buckets``). Bucket rows carry the first batch of signature entries, so that the first
+   step of 3 is taken where a pair is met. In a band that very many representatives share, a second band has to agree too.
 3. A candidate's signatures are compared batch by batch. After n entries with m matches, the posterior of the
    similarity under a uniform prior bounds the chance that it reaches the threshold; below ``miss`` the pair is dropped.
 4. Survivors are verified on their exact shingle sets. Only their texts are shingled again.
 
-Miss chance: a pair at similarity s shares no band with chance (1 - s^rows)^bands, 0.0004 at 0.6 for 3 rows and 32 bands; the
+Miss chance: a pair at similarity s shares no band with chance (1 - s^rows)^bands, 0.0004 at 0.6 for 3 rows and 32 bands,
+and 0.0014 if all its bands are hot and need one of 8 further bands as well; the
 pruning adds at most ``miss``. Signatures keep 8 bits an entry for step 3, so entries of a pair agree with chance
 s + (1 - s) / 256.
 
@@ -17,7 +19,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
-from .buckets import cool_pairs, hot_keys, hot_pairs
+from .buckets import meeting_pairs
 from .tokens import Tokens, band_keys, in_passes, list_array, minhash, segment_hashes
 
 HASHES, ROWS = 96, 3
 #: Signature entries of one step of the verification.
 STEP = 16
+#: Bands that a hot band is combined with.
+FURTHER = 8
 
 
 @functools.cache
@@ -65,7 +69,7 @@ def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, width: int, min_tokens: int) -> DataFrame:
-    """``(id, f1, f2, signature, bands)`` of every text with at least ``min_tokens`` tokens; f1, f2 name its class."""
+    """``(id, f1, f2, s0, s1, signature, bands)`` of every text with at least ``min_tokens`` tokens; f1, f2 name its class, s0, s1 are the signature's first STEP entries."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,18 +81,21 @@ def signatures(texts: DataFrame, width: int, min_tokens: int) -> DataFrame:
                 inside = np.repeat(np.isin(np.arange(len(n)), rows), n)
                 grams, starts = grams[inside], np.cumsum(n[rows]) - n[rows]
                 m = minhash(grams, starts, HASHES)
-                keys = band_keys(m, ROWS)
+                keys, small = band_keys(m, ROWS), m.astype(np.uint8)
+                head = np.ascontiguousarray(small[:, :STEP]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id").take(pa.array(rows)),
                         *(pa.array(segment_hashes(g, starts).astype(np.int64)) for g in (grams, grams * np.uint64(0xD6E8FEB86659FD93))),
-                        pa.array([x.tobytes() for x in m.astype(np.uint8)], pa.binary()),
+                        pa.array(head[:, 0]),
+                        pa.array(head[:, 1]),
+                        pa.array([x.tobytes() for x in small], pa.binary()),
                         list_array(keys.ravel(), np.arange(len(rows) + 1) * keys.shape[1], pa.int64()),
                     ],
-                    ["id", "f1", "f2", "signature", "bands"],
+                    ["id", "f1", "f2", "s0", "s1", "signature", "bands"],
                 )
 
-    return texts.mapInArrow(sign, "id bigint, f1 bigint, f2 bigint, signature binary, bands array<bigint>")
+    return texts.mapInArrow(sign, "id bigint, f1 bigint, f2 bigint, s0 bigint, s1 bigint, signature binary, bands array<bigint>")
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -117,17 +124,50 @@ def _exact(threshold: float):
     return check
 
 
+def _bucket_rows(reps: DataFrame) -> DataFrame:
+    return reps.select(F.explode("bands").alias("key"), "id", "s0", "s1")
+
+
+def _first_step(threshold: float, miss: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The first step of the verification, on the sketches of bucket rows."""
+    least = least_matches(threshold, miss)[0]
+
+    def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        same = np.ascontiguousarray(a).view(np.uint8) == np.ascontiguousarray(b).view(np.uint8)
+        return same.reshape(-1, STEP).sum(1) >= least
+
+    return test
+
+
+def _finer(reps: DataFrame, hot: DataFrame) -> DataFrame:
+    """Bucket rows for hot bands: a band's key together with that of each of the FURTHER bands after it, so 2 * ROWS entries have to agree."""
+    placed = hot.join(reps, "id").withColumn("at", F.array_position("bands", F.col("key")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.lit(FURTHER - 1)), lambda j: F.element_at("bands", F.pmod(F.col("at") + j, F.size("bands")) + 1))
+    return placed.select("id", "s0", "s1", "key", F.explode(others).alias("other")).select(F.xxhash64("key", "other").alias("key"), "id", "s0", "s1")
+
+
+def _verify(threshold: float, miss: float) -> Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame]:
+    def verify(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        x, y, out = _matrix(left["signature"]), _matrix(right["signature"]), []
+        p, q = left["id"].to_numpy(), right["id"].to_numpy()
+        for i in range(len(p)):
+            j = np.arange(i + 1 if same else 0, len(q))
+            j = j[posterior_survivors(np.broadcast_to(x[i], (len(j), HASHES)), y[j], threshold, miss)]
+            out.append(np.stack([np.minimum(p[i], q[j]), np.maximum(p[i], q[j])], axis=1))
+        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
+
+    return verify
+
+
 def near_duplicate_classes(records: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, width: int = 5, min_tokens: int = 20, miss: float = 1e-4, hot: int = 2048, block: int = 1024) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``: ``members(id, rep, copies)`` of every text that takes part, ``links(a, b)`` between representatives, a < b."""
     texts = records.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     signed = cut(signatures(texts, width, min_tokens))
     classes = signed.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     members = signed.select("id", "f1", "f2").join(classes, ["f1", "f2"]).select("id", "rep", "copies")
-    reps = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "signature", "bands")
-    rows = reps.select(F.explode("bands").alias("key"), "id")
-    hot_list = hot_keys(signed.select(F.explode("bands").alias("key")), hot)
-    candidates = cool_pairs(rows.where(~F.col("key").isin(hot_list)) if hot_list else rows, None).distinct()
-    sig = signed.select("id", "signature")
+    reps = cut(signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").drop("f1", "f2"))
+    sig = reps.select("id", "signature")
+    candidates = meeting_pairs(_bucket_rows(reps), sig, _first_step(threshold, miss), functools.partial(_finer, reps), _verify(threshold, miss), hot, block)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,18 +177,6 @@ def near_duplicate_classes(records: DataFrame, id_col: str, text_col: str, thres
 
     both = candidates.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     alive = both.mapInArrow(prune, "a bigint, b bigint")
-    if hot_list:
-
-        def verify(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-            x, y, out = _matrix(left["signature"]), _matrix(right["signature"]), []
-            p, q = left["id"].to_numpy(), right["id"].to_numpy()
-            for i in range(len(p)):
-                j = np.arange(i + 1 if same else 0, len(q))
-                j = j[posterior_survivors(np.broadcast_to(x[i], (len(j), HASHES)), y[j], threshold, miss)]
-                out.append(np.stack([np.minimum(p[i], q[j]), np.maximum(p[i], q[j])], axis=1))
-            return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
-
-        alive = alive.unionByName(hot_pairs(rows.where(F.col("key").isin(hot_list)), sig, verify, "a bigint, b bigint", block)).distinct()
     alive = cut(alive)
     needed = alive.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     grams = shingle_sets(texts.join(needed, "id", "left_semi"), width)
