@@ -13,7 +13,7 @@ from .pair_defects import broken_pairs
 from .sentences import split_sentences
 from .similar_vectors import similar_pairs
 from .site_lines import repeated_lines, strip_repeated_lines
-from .splitting import digits_or, split_oversized
+from .splitting import BALANCED, digits_or, split_oversized
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,12 @@ def p3_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip_repeated_lines(dbs, repeated_lines(dbs))
 
 
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record without the lines of frequent clusters of near-duplicate lines of its site."""
+    dbs = parallel(table(spark, sf_dir, "dbs").select("ord", "docs", "metadatas"))
+    return strip_repeated_lines(dbs, repeated_lines(dbs, exact=False))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     dbs = parallel(table(spark, sf_dir, "dbs").select("ord", "docs", "metadatas"))
     size, overlap = (F.try_element_at("metadatas", F.lit(k)) for k in ("chunk_size", "chunk_overlap"))
@@ -44,7 +50,7 @@ def p4_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pieces when the whole text's penalties and imbalance are minimised together."""
     dbs = parallel(table(spark, sf_dir, "dbs").select("ord", "docs", "metadatas"))
     size, overlap = (F.try_element_at("metadatas", F.lit(k)) for k in ("chunk_size", "chunk_overlap"))
-    return split_oversized(dbs, "ord", "docs", digits_or(size, 1000, 1), digits_or(overlap, 100, 0), carry=1.0)
+    return split_oversized(dbs, "ord", "docs", digits_or(size, 1000, 1), digits_or(overlap, 100, 0), BALANCED)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +72,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(parallel(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_stripped, p4_found, p4_balanced, p5_found, p6_ids, p7_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_stripped, p3_clusters, p4_found, p4_balanced, p5_found, p6_ids, p7_found, p8_found)}

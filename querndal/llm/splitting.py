@@ -2,13 +2,17 @@
 
 The pieces of a text are a path through its boundary positions. With ``s`` a piece's start and ``e`` its end,
 
-    V(s) = min over allowed e of  cost(s, e) + carry * V(e - overlap)
+    V(s) = min over e of  cost(s, e) + carry * V(max(s + 1, e - overlap))
 
-where ``cost`` is the penalty of the kind of boundary at ``e`` plus the imbalance (how far the piece stays
-below the limit). ``carry`` = 1 minimises the total over the text. ``carry`` = 0 is the limit in which an
-earlier piece counts infinitely more than all later ones: the recursion then needs V along one path only, and each
-piece takes the best kind of boundary its window has, as far right as possible. That is the rule of
-``p4_found``.
+over all boundaries ``e`` in the window (s + size div 2, s + size], or s + size itself where the window has none. V is computed from the right for every
+start that any path may reach, in stretches of starts that don't depend on each other, as arrays.
+
+``cost`` is the penalty of the kind of boundary at ``e`` plus the imbalance (how far the piece stays below the limit).
+
+* ``BALANCED``: penalties and squared imbalance of the whole text are minimised together (``carry`` = 1).
+* ``LEXICOGRAPHIC``: a better kind outweighs any imbalance, and an earlier piece all later ones. As no two ends of one start cost the same,
+  the order of whole paths is that of their first differing piece, which leaves no weight for V: ``carry`` = 0. Then each piece
+  takes the best kind of its window, as far right as possible, which is the rule of ``p4_found``.
 
 Edge cases: null and not oversized texts give no rows; a size that is missing, not digits only, zero or too
 large for BIGINT counts as 1000, such an overlap as 100; an overlap so large that the next piece would not
@@ -18,6 +22,7 @@ start later is cut down so that it starts one character later. Offsets count cod
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +33,6 @@ from .tokens import code_points
 
 #: Unicode White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-#: Penalties by kind: line feed, sentence end, white space, anywhere.
-PENALTIES = (0.0, 1.0, 3.0, 9.0)
 _SPACE = np.zeros(0x110000, bool)
 _SPACE[WHITE_SPACE] = True
 
@@ -48,64 +51,73 @@ def boundary_kinds(text: str) -> np.ndarray:
     return kinds
 
 
-def _window(start: int, size: int) -> tuple[int, int]:
-    return start + size // 2 + 1, start + size
+class Costs(NamedTuple):
+    """``kinds``: penalty by kind of boundary; ``imbalance`` and ``power`` of the unused share of the size; ``carry``: weight of what follows."""
+
+    kinds: tuple[float, float, float, float]
+    imbalance: float
+    power: int
+    carry: float
+
+
+BALANCED = Costs((0.0, 1.0, 3.0, 9.0), 2.0, 2, 1.0)
+#: Unused shares stay under 1, so kinds decide first.
+LEXICOGRAPHIC = Costs((0.0, 1.0, 2.0, 3.0), 1.0, 1, 0.0)
 
 
-def _last_of(kinds: np.ndarray) -> np.ndarray:
-    """By kind and position, the last place of that kind at or before the position, else -1."""
-    at = np.arange(len(kinds))
-    return np.stack([np.maximum.accumulate(np.where(kinds == k, at, -1)) for k in range(4)])
+def _starts(ends: np.ndarray, n: int, size: int, overlap: int) -> np.ndarray:
+    """All positions at which a piece may start, ascending: the beginning, behind each boundary, and behind forced cuts."""
+    if overlap > size // 2:  # a next start may be the one right behind
+        return np.arange(n)
+    found = np.unique(np.concatenate([[0], ends - overlap]))
+    found = new = found[(found >= 0) & (found < n)]
+    while len(new):
+        bare = np.searchsorted(ends, new + size // 2, "right") == np.searchsorted(ends, new + size, "right")
+        new = np.setdiff1d((new + size - overlap)[bare & (n - new > size)], found)
+        found = np.union1d(found, new)
+    return found
 
 
-def cut_pieces(text: str, size: int, overlap: int, carry: float = 0.0, imbalance: float = 2.0) -> list[tuple[int, int]]:
+def cut_pieces(text: str, size: int, overlap: int, costs: Costs = LEXICOGRAPHIC) -> list[tuple[int, int]]:
     """Pieces ``(start, end)`` of one text under the recursion above."""
     n = len(text)
     if n <= size:
         return [(0, n)] if n else []
     kinds = boundary_kinds(text)
-    step = lambda s, e: max(s + 1, e - overlap)
-    if carry == 0:
-        last, out, s = _last_of(kinds), [], 0
-        while n - s > size:
-            low, high = _window(s, size)
-            near = last[:3, high]
-            good = np.flatnonzero(near >= low)
-            e = int(near[good[0]]) if len(good) else high
-            out.append((s, e))
-            s = step(s, e)
-        return [*out, (s, n)]
-    # All starts that a path can reach, ascending; then V from the right.
-    best: dict[int, tuple[float, int]] = {}
-    edges: dict[int, np.ndarray] = {}
-    todo, seen = [0], {0}
-    penalty = np.array(PENALTIES)
-    while todo:
-        s = todo.pop()
-        if n - s <= size:
-            best[s] = (imbalance * (1 - (n - s) / size) ** 2, n)
-            continue
-        low, high = _window(s, size)
-        e = np.arange(low, high + 1)
-        e = e[(kinds[e] < 3) | (e == high)]
-        edges[s] = e
-        for x in e.tolist():
-            if (t := step(s, x)) not in seen:
-                seen.add(t)
-                todo.append(t)
-    for s in sorted(edges, reverse=True):
-        e = edges[s]
-        ahead = np.array([best[step(s, x)][0] for x in e.tolist()])
-        v = penalty[kinds[e]] + imbalance * (1 - (e - s) / size) ** 2 + carry * ahead
-        i = int(np.flatnonzero(v == v.min())[-1])
-        best[s] = (float(v[i]), int(e[i]))
-    out, s = [], 0
+    ends = np.flatnonzero(kinds < 3)
+    s = _starts(ends, n, size, overlap)
+    best, to = np.zeros(len(s)), np.full(len(s), n, np.int64)
+    last = n - s <= size  # the piece takes the rest
+    best[last] = costs.imbalance * (1 - (n - s[last]) / size) ** costs.power
+    penalty = np.array(costs.kinds)
+    low, high = np.searchsorted(ends, s + size // 2, "right"), np.searchsorted(ends, s + size, "right")
+    # Starts nearer together than the shortest way to a next start don't depend on each other. Stretches have bounded numbers of (start, end).
+    reach = max(1, size // 2 + 1 - overlap) if costs.carry else n
+    options = np.cumsum(np.maximum(high - low, 1))
+    b = int(np.searchsorted(s, n - size))
+    while b:
+        a = int(np.searchsorted(s, s[b - 1] - reach, "right"))
+        a = min(b - 1, max(a, int(np.searchsorted(options, options[b - 1] - 500_000))))
+        count = np.maximum(high[a:b] - low[a:b], 1)
+        heads = np.cumsum(count) - count
+        owner = np.repeat(np.arange(b - a), count)
+        at = low[a:b][owner] + np.arange(len(owner)) - heads[owner]
+        forced = (high[a:b] == low[a:b])[owner]
+        e = np.where(forced, s[a:b][owner] + size, ends[np.minimum(at, len(ends) - 1)] if len(ends) else 0)
+        v = penalty[kinds[e]] + costs.imbalance * (1 - (e - s[a:b][owner]) / size) ** costs.power
+        if costs.carry:
+            v = v + costs.carry * best[np.searchsorted(s, np.maximum(s[a:b][owner] + 1, e - overlap))]
+        least = np.minimum.reduceat(v, heads)
+        best[a:b] = least
+        to[a:b] = np.maximum.reduceat(np.where(v == least[owner], e, -1), heads)  # of equal ones the furthest
+        b = a
+    out, x = [], 0
     while True:
-        e = best[s][1]
-        out.append((s, e))
+        e = int(to[np.searchsorted(s, x)])
+        out.append((x, e))
         if e == n:
             return out
-        s = step(s, e)
+        x = max(x + 1, e - overlap)
 
 
 def digits_or(value: Column, default: int, least: int) -> Column:
@@ -114,7 +126,7 @@ def digits_or(value: Column, default: int, least: int) -> Column:
     return F.when(number >= least, number).otherwise(F.lit(default)).cast("bigint")
 
 
-def split_oversized(docs: DataFrame, id_col: str, text_col: str, size: Column, overlap: Column, carry: float = 0.0) -> DataFrame:
+def split_oversized(docs: DataFrame, id_col: str, text_col: str, size: Column, overlap: Column, costs: Costs = LEXICOGRAPHIC) -> DataFrame:
     """Pieces of every text longer than its size: ``(id, piece_no, start_at, end_at)``.
 
     Narrow: one scan of the two columns, lengths compared in the JVM, only oversized texts reach Python.
@@ -125,7 +137,7 @@ def split_oversized(docs: DataFrame, id_col: str, text_col: str, size: Column, o
         for batch in batches:
             ids, at, no, a, b = batch.column(0), [], [], [], []
             for i, (text, s, o) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
-                for k, (x, y) in enumerate(cut_pieces(text, s, o, carry)):
+                for k, (x, y) in enumerate(cut_pieces(text, s, o, costs)):
                     at.append(i)
                     no.append(k)
                     a.append(x)

@@ -122,8 +122,9 @@ def in_passes(batch: pa.RecordBatch, column: str, most: int = PASS_CHARS) -> Ite
 
 @functools.cache
 def _minhash_parameters(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return rng.integers(0, 2**63, n, dtype=U64) * U64(2) + U64(1), rng.integers(0, 2**63, n, dtype=U64)
+    """Multipliers and offsets; the first n are the same whatever n."""
+    drawn = np.random.default_rng(seed).integers(0, 2**63, (n, 2), dtype=U64)
+    return drawn[:, 0] * U64(2) + U64(1), drawn[:, 1]
 
 
 def minhash(values: np.ndarray, starts: np.ndarray, n: int, seed: int = 7) -> np.ndarray:

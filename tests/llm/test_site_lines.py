@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -37,6 +38,7 @@ def test_equals_brute_force_with_a_hot_site(spark):
     rows += [("only four\nhere", b)] * 4 + [("only four times\nhere ", b)] + [(None, b), ("", b), (" \n\r\n", b)]
     rows += [("Share | Print\n" + "\n".join(f"body {i} {j} {chr(97 + j % 26)}" for j in range(300)), a) for i in range(12)]
     rows += [("Notice 1 of the day", None), ("Notice 1 of the day", {})]
+    rows += [(t, {"url": "http://c.test/1"}) for t in ("Share This", "share this", "SHARE THIS \u0130", "SHARE  THIS", "share This", "sHARE tHIS")]
     got = [tuple(r) for r in repeated_lines(records(spark, rows)).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
 
@@ -50,6 +52,34 @@ def test_cluster_of_almost_equal_lines(spark):
     assert {(i, 0) for i in range(6)} <= {tuple(r) for r in repeated_lines(df, exact=False).collect()}
 
 
+def test_recall_of_clusters(spark):
+    """Byline variants of one site at a word similarity of 0.8 or more are removed, other lines are kept."""
+    rng = random.Random(4)
+    words = lambda n: [rng.choice("abcdefghijklmnop") + str(rng.choice("qrstuvwxyz")) * rng.randint(1, 6) for _ in range(n)]
+    bylines = [words(14) for _ in range(20)]
+    rows, planted, other = [], set(), set()
+    for i in range(40):
+        lines = []
+        for b in bylines:
+            w = list(b)
+            w[rng.randrange(len(w))] = f"Anna{i} {i}"  # a name and a number are masked
+            lines.append(" ".join(w))
+            planted.add((i, len(lines) - 1))
+        for _ in range(20):
+            lines.append(" ".join(words(12)))
+            other.add((i, len(lines) - 1))
+        rows.append(("\n".join(lines), {"url": "http://a.test/1"}))
+    got = {tuple(r) for r in repeated_lines(records(spark, rows), exact=False).collect()}
+    assert len(got & planted) >= 0.9 * len(planted) and len(got & other) <= 0.02 * len(other)
+
+
+def test_a_cluster_counts_rows_once(spark):
+    """Four rows with many lines of one cluster are still four rows."""
+    text = "\n".join(f"Thanks for reading, yours {n} from the old mill by the river" for n in ("Anna", "Berta", "Clara"))
+    assert repeated_lines(records(spark, [(text, {"url": "http://a.test/1"})] * 4), exact=False).count() == 0
+    assert repeated_lines(records(spark, [(text, {"url": "http://a.test/1"})] * 5), exact=False).count() == 15
+
+
 def test_strip(spark):
     rows = [(f"Same line\nown {'abcdefgh'[i]} text\n", {"url": "http://a.test/1"}) for i in range(6)] + [(None, None)]
     df = records(spark, rows)
