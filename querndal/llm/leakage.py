@@ -1,16 +1,21 @@
 """Problem 7: evaluation items whose passages turn up in training texts.
 
-The test items form a BM25 inverted index, its items cut into blocks. Every training text is cut into overlapping
-passages, and each passage is a query over its distinct tokens. As in block-max WAND, the best weight that each token reaches in
-a block bounds what the block's items can score; blocks whose bound stays under their lowest threshold are
-skipped whole, the others are scored exactly. All items above their threshold are retrieved and then verified: passage and
-item must share a run of ``run`` tokens.
+The test items form a BM25 inverted index: of each token the blocks of items that hold it, with the best weight in the block, and the items with
+their weights. Every training text is cut into overlapping passages, and each passage is a query over its distinct tokens,
+answered as in block-max WAND, for many passages at once:
+
+1. The pivot: a passage's tokens are taken in ascending order of their best weight in any item. As long as the sum stays under the
+   least threshold of all items, an item that holds only these tokens can't be retrieved, so their postings are not opened.
+2. The blocks in the postings of the other tokens are candidates. The sum of the block's best weights over all tokens of the passage
+   bounds what its items can score; blocks whose bound stays under their lowest threshold are left.
+3. The items of the other blocks are scored exactly, and all at or above their threshold are retrieved.
+4. Verification: passage and item must share a run of ``run`` tokens.
 
 An item's threshold is the least score that one of its own runs of ``run`` tokens reaches. A passage that
 holds such a run scores at least that, and passages overlap by ``run`` - 1 tokens, so nothing is lost before the
 verification.
 
-Scale: texts are read once and not shuffled; the index is broadcast. Its size is checked: items beyond
+Scale: texts are read once and not shuffled; the index, about 60 bytes a token of the items, is broadcast. Its size is checked: items beyond
 ``max_index_chars`` are handled in slices by hash, one pass each.
 
 Edge cases: null, empty and short texts (under ``run`` tokens) on either side give no rows; repeated
@@ -35,64 +40,102 @@ def normal(text: str | None) -> str:
     return unicodedata.normalize("NFKC", text or "").lower()
 
 
+def _spans(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges [low, high), and to which range each belongs."""
+    n = np.maximum(high - low, 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(owner)), owner
+
+
+def _place(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Where each code stands, or -1."""
+    if not len(sorted_codes):
+        return np.full(len(codes), -1)
+    at = np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)
+    return np.where(sorted_codes[at] == codes, at, -1)
+
+
 class ItemIndex:
-    """BM25 weights of the items' tokens, with their maxima by block of items and each item's threshold."""
+    """Postings of the items' tokens with BM25 weights and block maxima, and each item's threshold.
+
+    ``code`` is token * items + item in ascending order, ``block_code`` token * blocks + block; the postings of a token are the stretch
+    that ``block_at`` gives. Items come in the order of their texts, so that like ones share blocks and maxima are tight.
+    """
 
     def __init__(self, item_ids: list[int], texts: list[str | None], run: int, block: int = 16, k1: float = 1.2, b: float = 0.75):
         self.run, self.block = run, block
         t = Tokens([normal(x) for x in texts])
         long = np.flatnonzero(t.counts() >= run)
         self.items = np.array(item_ids, np.int64)[long]
-        # Items with like words share blocks, so that a block's maxima are tight.
         self.vocabulary, words = np.unique(t.hash, return_inverse=True)
-        n, lengths = len(long), t.counts()[long]
-        self.blocks = -(-n // block) if n else 0
-        self.weights = np.zeros((len(self.vocabulary) + 1, self.blocks * block), np.float32)
-        self.thresholds = np.full(self.blocks * block, np.inf, np.float32)
-        own = [words[t.offsets[i] : t.offsets[i + 1]] for i in long]
-        df = np.bincount(np.concatenate([np.unique(w) for w in own]), minlength=len(self.vocabulary)) if own else np.zeros(len(self.vocabulary))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        for j, w in enumerate(own):
-            term, tf = np.unique(w, return_counts=True)
-            self.weights[term, j] = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[j] / lengths.mean()))
-            runs = np.sort(np.lib.stride_tricks.sliding_window_view(w, run), axis=1)
+        self.n, lengths = len(long), t.counts()[long]
+        self.blocks = -(-self.n // block)
+        at, item = _spans(t.offsets[long], t.offsets[long + 1])
+        self.code, tf = np.unique(words[at].astype(np.int64) * max(self.n, 1) + item, return_counts=True)
+        term, slot = self.code // max(self.n, 1), self.code % max(self.n, 1)
+        df = np.bincount(term, minlength=len(self.vocabulary))
+        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
+        self.weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[slot] / (lengths.mean() if self.n else 1)))
+        self.block_code, first = np.unique(term * max(self.blocks, 1) + slot // block, return_index=True)
+        self.block_max = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
+        self.block_at = np.searchsorted(self.block_code, np.arange(len(self.vocabulary) + 1) * max(self.blocks, 1))
+        self.best = np.zeros(len(self.vocabulary))
+        np.maximum.at(self.best, term, self.weight)
+        self.thresholds = np.full(self.blocks * block, np.inf)
+        for j, i in enumerate(long):
+            w = words[t.offsets[i] : t.offsets[i + 1]]
+            runs = np.sort(np.lib.stride_tricks.sliding_window_view(w, run), axis=1).astype(np.int64)
             fresh = np.concatenate([np.ones((len(runs), 1), bool), np.diff(runs, axis=1) != 0], axis=1)
-            self.thresholds[j] = (self.weights[runs, j] * fresh).sum(1).min() * (1 - 1e-4)  # room for float32 sums
-        self.block_max = self.weights.reshape(len(self.weights), self.blocks, block).max(2) if n else np.zeros((len(self.weights), 0), np.float32)
-        self.block_least = self.thresholds.reshape(self.blocks, block).min(1)
+            scores = self.weight[np.searchsorted(self.code, runs * self.n + j)] * fresh
+            self.thresholds[j] = scores.sum(1).min() * (1 - 1e-9)  # room for sums in another order
+        self.block_least = self.thresholds.reshape(self.blocks, block).min(1) if self.n else self.thresholds
         grams, offsets = t.shingles(run)
         owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        slot = np.full(len(texts), -1, np.int64)
-        slot[long] = np.arange(n)
-        self.gram_hash, self.gram_item = grams, slot[owner]
+        slot_of = np.full(len(texts), -1, np.int64)
+        slot_of[long] = np.arange(self.n)
+        self.gram_hash, self.gram_item = grams, slot_of[owner]
         order = np.lexsort((self.gram_item, self.gram_hash))
         self.gram_hash, self.gram_item = self.gram_hash[order], self.gram_item[order]
 
     def term_ids(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at, len(self.vocabulary))
+        at = _place(self.vocabulary, hashes)
+        return np.where(at < 0, len(self.vocabulary), at)
 
     def retrieve(self, terms: np.ndarray, passage: np.ndarray, passages: int) -> tuple[np.ndarray, np.ndarray]:
         """All (passage, item slot) whose score reaches the item's threshold; terms come with their passage, ascending, distinct."""
         got_p, got_i = [], []
         for low in range(0, passages, 4096):
             a, b = np.searchsorted(passage, [low, low + 4096])
-            p, t = passage[a:b], terms[a:b]
+            p, t = passage[a:b] - low, terms[a:b]
             if not len(p):
                 continue
-            heads = np.flatnonzero(np.diff(p, prepend=-1))
-            bound = np.add.reduceat(self.block_max[t], heads, axis=0)
-            row, blk = np.nonzero(bound >= self.block_least)
-            ends = np.append(heads, len(p))
-            for c in np.unique(blk).tolist():
-                rows = row[blk == c]
-                n = ends[rows + 1] - heads[rows]
-                starts = np.cumsum(n) - n
-                at = np.repeat(heads[rows] - starts, n) + np.arange(n.sum())
-                cols = slice(c * self.block, (c + 1) * self.block)
-                r, i = np.nonzero(np.add.reduceat(self.weights[t[at], cols], starts, axis=0) >= self.thresholds[cols])
-                got_p.append(p[heads[rows[r]]])
-                got_i.append(i + c * self.block)
+            order = np.lexsort((self.best[t], p))
+            p, t = p[order], t[order]
+            start = np.searchsorted(p, np.arange(4097))
+            sums = np.cumsum(self.best[t])
+            before = np.concatenate([[0.0], sums])[start[p]]
+            opened = sums - before >= self.block_least.min() * (1 - 1e-9)  # from the pivot on
+            at, owner = _spans(self.block_at[t[opened]], self.block_at[t[opened] + 1])
+            pairs = np.unique(p[opened][owner] * self.blocks + self.block_code[at] % self.blocks)
+            cp, cb = pairs // self.blocks, pairs % self.blocks
+            at, owner = _spans(start[cp], start[cp + 1])
+            found = _place(self.block_code, t[at] * self.blocks + cb[owner])
+            bound = np.bincount(owner, np.where(found < 0, 0.0, self.block_max[found]), minlength=len(pairs))
+            keep = bound >= self.block_least[cb]
+            cp, cb = cp[keep], cb[keep]
+            if not len(cp):
+                continue
+            # The items of the blocks, from the postings of the passage's tokens.
+            at, owner = _spans(start[cp], start[cp + 1])
+            first = t[at] * self.n + cb[owner] * self.block
+            lo = np.searchsorted(self.code, first)
+            hi = np.searchsorted(self.code, np.minimum(first + self.block, (t[at] + 1) * self.n))
+            at, term = _spans(lo, hi)
+            key, pair = np.unique(cp[owner[term]] * self.n + self.code[at] % self.n, return_inverse=True)
+            score = np.bincount(pair, self.weight[at], minlength=len(key))
+            good = key[score >= self.thresholds[key % self.n]]
+            got_p.append(good // self.n + low)
+            got_i.append(good % self.n)
         return (np.concatenate(got_p), np.concatenate(got_i)) if got_p else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def leaks(self, texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +152,8 @@ class ItemIndex:
         begin = t.offsets[text_of] + first * stride
         end = np.minimum(begin + width, t.offsets[text_of + 1])
         size = end - begin
-        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        terms, passage = self.term_ids(t.hash)[at], np.repeat(np.arange(len(size)), size)
+        at, passage = _spans(begin, end)
+        terms = self.term_ids(t.hash)[at]
         known = terms < len(self.vocabulary)
         code = np.unique(passage[known] * np.int64(len(self.vocabulary) + 1) + terms[known])
         p, slot = self.retrieve(code % (len(self.vocabulary) + 1), code // (len(self.vocabulary) + 1), len(size))
@@ -118,8 +161,8 @@ class ItemIndex:
         grams, offsets = t.shingles(run)
         shift = offsets[text_of[p]] - t.offsets[text_of[p]]
         low, m = begin[p] + shift, np.maximum(size[p] - run + 1, 0)
-        at = np.repeat(low - (np.cumsum(m) - m), m) + np.arange(m.sum())
-        pair, wanted, have = np.repeat(np.arange(len(p)), m), np.repeat(slot, m), grams[at]
+        at, pair = _spans(low, low + m)
+        wanted, have = slot[pair], grams[at]
         lo, hi = np.searchsorted(self.gram_hash, have), np.searchsorted(self.gram_hash, have, "right")
         hit = np.zeros(len(p), bool)
         for k in range(int((hi - lo).max(initial=0))):
@@ -130,7 +173,7 @@ class ItemIndex:
         return found[0], self.items[found[1]]
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, run: int = 12, width: int = 48, max_index_chars: int = 400_000) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, run: int = 12, width: int = 48, max_index_chars: int = 20_000_000) -> DataFrame:
     """``(doc_id, item_id)`` of every document that shares at least ``run`` consecutive tokens with a test item."""
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("bigint"), "text").where("text is not null")

@@ -1,5 +1,7 @@
+import pickle
 import random
 
+import numpy as np
 import regex
 
 from querndal.llm.leakage import ItemIndex, leaked_items, normal
@@ -42,8 +44,27 @@ def test_equals_brute_force(spark):
     assert leaked_items(d.limit(0), i).count() == 0 and leaked_items(d, i.limit(0)).count() == 0
 
 
-def test_bounds_hold_the_scores():
-    _, items = data()
+def test_retrieval_is_that_of_all_scores():
+    """Pivot and block maxima leave out no passage and item above the threshold."""
+    docs, items = data()
     index = ItemIndex([i for i, _ in items], [t for _, t in items], 12, block=4)
-    for c in range(index.blocks):
-        assert (index.block_max[:, c] >= index.weights[:, c * 4 : c * 4 + 4].max(1)).all()
+    dense = np.zeros((len(index.vocabulary), index.n))
+    dense[index.code // index.n, index.code % index.n] = index.weight
+    rng = np.random.default_rng(3)
+    pick = [np.unique(rng.integers(0, len(index.vocabulary), 40)) for _ in range(60)]
+    pick += [np.unique(index.code[index.code % index.n == j] // index.n) for j in range(0, index.n, 3)]
+    p, slot = index.retrieve(np.concatenate(pick), np.repeat(np.arange(len(pick)), [len(x) for x in pick]), len(pick))
+    scores = np.stack([dense[x].sum(0) for x in pick])
+    sure = {(a, b) for a, b in zip(*np.nonzero(scores >= index.thresholds[: index.n] * (1 + 1e-6)), strict=True)}
+    assert sure <= set(zip(p.tolist(), slot.tolist(), strict=True)) and len(p) == len(set(zip(p, slot, strict=True)))
+    assert (scores[p, slot] >= index.thresholds[slot] * (1 - 1e-6)).all()
+    for code, most in zip(index.block_code, index.block_max, strict=True):
+        term, c = divmod(int(code), index.blocks)
+        assert dense[term, 4 * c : 4 * c + 4].max() == most
+
+
+def test_many_items_fit_one_small_index():
+    """The index grows with the items' tokens, not with tokens times items."""
+    items = [" ".join(f"t{(7 * i + j * j) % 5000}" for j in range(20)) for i in range(20_000)]
+    index = ItemIndex(list(range(len(items))), items, 12)
+    assert len(pickle.dumps(index)) < 80 * 20 * len(items)
