@@ -3,8 +3,8 @@
 Tests in this order; the first that holds names the defect.
 
 * ``empty``: null, or nothing is left without markup, punctuation, labels and placeholders.
-* ``copy``: the response is compressed with its prompt as a raw zstandard dictionary. If the dictionary makes it cheap, an exact
-  check follows: apart from a lead-in, all its letters lie in long runs of the prompt.
+* ``copy``: the response is compressed with its prompt as a raw zstandard dictionary, whatever its length. If the dictionary makes it cheap, an exact
+  check follows: apart from a lead-in, all its letters lie in long runs of the prompt. Both are linear in the texts.
 * ``refusal``: a sentence declines (dictionary by language) and every other one is a courtesy.
 * ``language``: the response's main language is clearly not the one that the prompt names or, if it names none, is written in. Scripts tell most
   languages apart; those in Latin script by a word model that is trained on the table itself from seeds of function words.
@@ -12,7 +12,8 @@ Tests in this order; the first that holds names the defect.
   continues. Terminal contexts are the last one to four words before an end mark, counted over all responses at their end and within
   them: a context that practically never stands at an end (as ``Laut Dr.``) means that the text breaks off.
 
-The models' counts cover all rows; each table keeps its ``vocabulary`` most frequent entries, which bounds what is broadcast.
+The models' counts cover all rows. A table keeps every word and context from a share of FLOOR of all words or responses on, which bounds it by
+1 / FLOOR entries at any size of the input; of contexts only those that can decide.
 
 Edge cases: a null or empty prompt has no language and nothing to copy; brief answers, numbers, lists, code and objects are
 complete; rows with repeated content are judged alike; a null run_id is kept as it is.
@@ -20,11 +21,11 @@ complete; rows with repeated content are judged alike; a null run_id is kept as
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,8 @@ SEEDS = {
 }
 #: The languages of answers of one word.
 SHORT = {"yes": "en", "no": "en es", "ja": "de", "nein": "de", "sí": "es", "si": "es", "ok": "en de es", "okay": "en de es"}
+#: Share of all words or responses from which a word or context is kept; share of the plain compressed size up to which a response may be a copy.
+FLOOR, NOVEL = 1e-6, 0.6
 VERBS = r"answer|reply|respond|write|antworte\w*|schreib\w*|responda|responde|conteste|contesta|escriba|回答|回覆|作答|答え|回答して"
 
 _zero_width = re.compile("[​-‏‪-‮⁠﻿]")
@@ -82,10 +85,13 @@ _sentence_end = re.compile(r"(?<=[.!?])[\"”»)]*\s+|(?<=[。！？])[」』）
 _noise = re.compile(r"https?://[!-~]+|(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.(?:txt|md|csv|json|pdf|docx|pptx|html?|py)(?![A-Za-z])|(?<![A-Za-z0-9_])[A-Za-z0-9]*_[A-Za-z0-9_]*|(?<![A-Za-z])[a-z]+[A-Z][A-Za-z0-9]*|\d+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _letters = re.compile(r"[^\W\d_]+")
+_no_letters = re.compile(r"[\W_]+")
+_latin = re.compile(r"[A-Za-zÀ-ɏ]")
 _courtesy = re.compile("|".join(x for x in COURTESIES.strip().split("\n")), re.I)
 _decline = re.compile("|".join(DECLINES.strip().split("\n")), re.I)
 _names = {c: "|".join(v.split()) for c, v in LANGUAGE_NAMES.items()}
 _asks = {c: re.compile(rf"(?:(?:{VERBS})\b[^.:：。?？]{{0,24}}?(?:{n})|(?:用|以|使用)\s*(?:{n})|(?:{n})(?:で|作答|回答))", re.I) for c, n in _names.items()}
+_any_name = re.compile("|".join(_names.values()), re.I)
 _tail = re.compile(r"(\S+)\s*$")
 _OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』", "【": "】", "«": "»", "“": "”", "„": "“"}
 _end_mark = re.compile(r"[.!?。！？…।」』）)\"”“»\]}]$")
@@ -93,7 +99,7 @@ _end_mark = re.compile(r"[.!?。！？…।」』）)\"”“»\]}]$")
 
 def bare(text: str) -> str:
     """Letters and digits of a text, lower case, NFKC."""
-    return "".join(c for c in unicodedata.normalize("NFKC", text).lower() if unicodedata.category(c)[0] in "LN")
+    return _no_letters.sub("", unicodedata.normalize("NFKC", text).lower())
 
 
 def is_empty(response: str | None) -> bool:
@@ -108,25 +114,29 @@ def is_empty(response: str | None) -> bool:
     return not rest or rest in PLACEHOLDERS
 
 
-def _novelty(response: bytes, prompt: bytes) -> float:
-    """Compressed size of the response with the prompt as dictionary, as a share of that without."""
+def _cheap(response: bytes, prompt: bytes) -> bool:
+    """May the response be a copy? With the prompt as dictionary it takes at most NOVEL of its compressed size without, or a fiftieth of its length if it repeats itself.
+
+    Sizes are net of what an empty text takes.
+    """
     plain = len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(response))
     known = zstandard.ZstdCompressionDict(prompt, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return len(zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=False, write_dict_id=False).compress(response)) / plain
+    size = len(zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=False, write_dict_id=False).compress(response)) - _EMPTY_FRAME
+    return size <= max(NOVEL * (plain - _EMPTY_FRAME), len(response) / 50)
+
+
+_EMPTY_FRAME = len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(b""))
 
 
 def _covered(r: str, p: str, least: int) -> int:
-    """Letters of r within common runs with p of at least ``least`` letters; found greedily."""
-    at = done = 0
-    while at + least <= len(r):
-        if r[at : at + least] not in p:
-            at += 1
-            continue
-        n = least
-        while at + n < len(r) and r[at : at + n + 1] in p:
-            n += 1
-        done, at = done + n, at + n
-    return done
+    """Letters of r within common runs with p of at least ``least`` letters."""
+    known = {p[i : i + least] for i in range(len(p) - least + 1)}
+    covered = end = 0
+    for at in range(len(r) - least + 1):
+        if r[at : at + least] in known:
+            covered += at + least - max(at, end)
+            end = at + least
+    return covered
 
 
 def is_copy(prompt: str, response: str) -> bool:
@@ -135,9 +145,10 @@ def is_copy(prompt: str, response: str) -> bool:
     for text in dict.fromkeys((response, body)):
         r = bare(text)
         least = 4 if _CJK.search(r) else 8
+        # Of a short response only what names much of the prompt says that it is copied: ``in May`` may answer ``... in May?``.
         if len(r) < max(2 * least - 4, 6) or len(r) < 0.25 * len(p) and len(r) < 24:
             continue
-        if len(r) > 40 and _novelty(r.encode(), p.encode()) > 0.6:
+        if not _cheap(r.encode(), p.encode()):
             continue
         cover = _covered(r, p, least)
         # The end of a repeated and cut copy may be shorter than a run.
@@ -155,30 +166,49 @@ def is_refusal(response: str) -> bool:
 
 def asked_language(prompt: str) -> str | None:
     """The language that the prompt names for the answer: the earliest one named."""
+    if not _any_name.search(prompt):
+        return None
     found = [(m.start(), c) for c, x in _asks.items() if (m := x.search(prompt))]
     return min(found)[1] if found else None
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-case words of a text without code, objects, file names, identifiers and capitalised foreign names."""
-    s = _noise.sub(" ", _fence.sub(" ", text))
-    return [w.lower() for w in _letters.findall(s)]
+def plain_of(text: str) -> str:
+    """A text without code, objects, file names, identifiers and numbers."""
+    return _noise.sub(" ", _fence.sub(" ", text))
+
+
+def words_of(plain: str) -> list[str]:
+    return [w.lower() for w in _letters.findall(plain)]
 
 
-class Models(NamedTuple):
-    words: dict[str, dict[str, float]]
-    unseen: dict[str, float]
-    contexts: dict[str, tuple[int, int]]
-    share: float
+class Models:
+    """What ``train`` learns.
 
+    ``words``: logarithms of word shares by language, ``unseen`` that of a word a language lacks; ``contexts``: (ends, inner places) of terminal contexts,
+    those that begin with ``- `` are whole list items; ``share``: ends among all places of end marks.
+    """
 
-def script_language(text: str) -> str | None:
+    def __init__(self, words: dict[str, dict[str, float]], unseen: dict[str, float], contexts: dict[str, tuple[int, int]], share: float):
+        self.languages = list(words)
+        self.scores = {w: tuple(t.get(w, unseen[c]) for c, t in words.items()) for w in set().union(*words.values())}
+        self.items = sorted(k for k in contexts if k.startswith("- "))
+        self.contexts = {k: v for k, v in contexts.items() if not k.startswith("- ")}
+        self.share = share
+
+    def begins_longer_item(self, item: str) -> bool:
+        """Is this no known list item, but the beginning of one?"""
+        at = bisect.bisect_left(self.items, item)
+        return at < len(self.items) and self.items[at] != item and self.items[at].startswith(item)
+
+
+def script_language(plain: str) -> str | None:
     """Language by script; ``latin`` for Latin letters, None without letters."""
-    s = _noise.sub(" ", _fence.sub(" ", "" if _object.match(text) else text))
-    kana = len(re.findall(r"[぀-ヿ]", s))
-    han = len(re.findall(r"[㐀-鿿]", s))
-    thai, hindi = len(re.findall(r"[฀-๿]", s)), len(re.findall(r"[ऀ-ॿ]", s))
-    latin = len(re.findall(r"[A-Za-zÀ-ɏ]", s))
+    if plain.isascii():
+        return "latin" if _latin.search(plain) else None
+    kana = len(re.findall(r"[぀-ヿ]", plain))
+    han = len(re.findall(r"[㐀-鿿]", plain))
+    thai, hindi = len(re.findall(r"[฀-๿]", plain)), len(re.findall(r"[ऀ-ॿ]", plain))
+    latin = len(_latin.findall(plain))
     n = max((3 * (kana + han), "cjk"), (thai * 2, "th"), (hindi * 2, "hi"), (latin, "latin"))
     if not n[0]:
         return None
@@ -187,19 +217,23 @@ def script_language(text: str) -> str | None:
 
 def languages(text: str, models: Models, margin: float = 2.0) -> set[str]:
     """The languages a text may mainly be in; empty if it can't be told."""
-    script = script_language(text)
+    if _object.match(text):
+        return set()
+    plain = plain_of(text)
+    script = script_language(plain)
     if script is None:
         return set()
     if script == "zh" and all(len(x.strip()) <= 12 and not re.search("[，。！？]", x) for x in text.strip().split("\n")):
         return {"zh", "ja"}  # bare nouns need no kana
     if script != "latin":
         return {script}
-    words = words_of(text)
+    words = words_of(plain)
     if len(words) <= 2 and all(w in SHORT for w in words):
         return set.intersection(*(set(SHORT[w].split()) for w in words)) if words else set()
-    score = {c: sum(t.get(w, models.unseen[c]) for w in words if any(w in x for x in models.words.values())) for c, t in models.words.items()}
-    best = max(score.values(), default=0.0)
-    return {c for c, v in score.items() if v >= best - margin}
+    known = [t for t in map(models.scores.get, words) if t]
+    score = [sum(x) for x in zip(*known, strict=True)] if known else [0.0] * len(models.languages)
+    best = max(score, default=0.0)
+    return {c for c, v in zip(models.languages, score, strict=True) if v >= best - margin}
 
 
 def tails(words: list[str]) -> list[str]:
@@ -225,9 +259,7 @@ def is_truncated(response: str, models: Models) -> bool:
         if re.search(r"[,、，:：]$", body):
             return True
         if not re.search(r"[.!?。！？]", s):
-            end, inner = models.contexts.get("- " + body.lower(), (0, 0))
-            cut = [k for k, v in models.contexts.items() if k.startswith("- " + body.lower()) and sum(v) >= 5] if end + inner <= 1 else []
-            return bool(cut) and "- " + body.lower() not in cut
+            return models.begins_longer_item("- " + body.lower())
     stack: list[str] = []
     for c in line:
         if stack and c == stack[-1]:
@@ -245,7 +277,7 @@ def is_truncated(response: str, models: Models) -> bool:
         end, inner = models.contexts.get(t, (0, 0))
         if end + inner >= 8:
             best = (end, inner)
-    return bool(best) and best[0] + 0.5 < 0.15 * models.share * sum(best)
+    return bool(best) and continues(best[0], sum(best), models.share)
 
 
 def defect_of(prompt: str | None, response: str | None, models: Models) -> str | None:
@@ -272,10 +304,13 @@ def _seeded(words: list[str]) -> str | None:
 _seed_sets = {c: set(v.split()) for c, v in SEEDS.items()}
 
 
-def train(pairs: DataFrame, vocabulary: int = 50_000) -> Models:
-    """Word model and terminal contexts of a table with ``prompt`` and ``response``: one pass, counts combined before the shuffle."""
-    spark = pairs.sparkSession
+def continues(ends, places, share: float):
+    """Does a context with these counts (numbers or columns) practically never end a response?"""
+    return ends + 0.5 < 0.15 * share * places
+
 
+def train(pairs: DataFrame) -> Models:
+    """Word model and terminal contexts of a table with ``prompt`` and ``response``: one pass, counts combined before the shuffle."""
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
@@ -288,8 +323,8 @@ def train(pairs: DataFrame, vocabulary: int = 50_000) -> Models:
         for batch in batches:
             for prompt, response in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for text in (prompt, response):
-                    if text and script_language(text) == "latin":
-                        words = words_of(text)
+                    if text and not _object.match(text) and script_language(plain := plain_of(text)) == "latin":
+                        words = words_of(plain)
                         if c := _seeded(words):
                             seen.update((c, w) for w in words)
                 s = (response or "").strip()
@@ -309,22 +344,30 @@ def train(pairs: DataFrame, vocabulary: int = 50_000) -> Models:
                     yield out()
         yield out()
 
-    counts = pairs.select("prompt", "response").mapInArrow(observe, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n >= 2 or kind = 'end'")
-    wide = counts.groupBy("key").pivot("kind", ["end", "inner", *SEEDS]).agg(F.sum("n")).na.fill(0).persist()
-    total = F.col("end") + F.col("inner")
-    contexts = {r.key: (r.end, r.inner) for r in wide.where(total >= 5).orderBy(F.desc(total), "key").limit(vocabulary).collect()}
-    words: dict[str, dict[str, float]] = {}
+    counts = pairs.select("prompt", "response").mapInArrow(observe, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n >= 2 or kind in ('end', 'all')")
+    wide = counts.groupBy("key").pivot("kind", ["end", "inner", "all", *SEEDS]).agg(F.sum("n")).na.fill(0).persist()
+    totals = wide.agg(F.sum("all").alias("all"), *(F.sum(F.when(F.col(c) >= 2, F.col(c))).alias(c) for c in SEEDS)).first()
+    least = lambda n, most: max(n, int(np.ceil(FLOOR * (most or 0))))
+    total, item = F.col("end") + F.col("inner"), F.col("key").startswith("- ")
+    one = wide.where(~item & ~F.col("key").contains(" ") & (total >= least(5, totals["all"]))).agg(F.sum("end"), F.sum(total)).first()
+    share = (one[0] or 0) / (one[1] or 1)
+    # A context decides if it practically never ends a response, or if it is the longer form of one that doesn't.
+    places = wide.where(~item & (total >= least(8, totals["all"]))).select("key", "end", "inner", continues(F.col("end"), total, share).alias("goes_on"))
+    words = F.split("key", " ")
+    shorter = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(2), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.size(words)), " ")))
+    longer = places.where("not goes_on").select("key", "end", "inner", F.explode(shorter).alias("short")).join(places.where("goes_on").select(F.col("key").alias("short")), "short", "left_semi")
+    kept = places.where("goes_on").select("key", "end", "inner").unionAll(longer.select("key", "end", "inner").distinct()).unionAll(wide.where(item & (total >= least(5, totals["all"]))).select("key", "end", "inner"))
+    contexts = {r.key: (r.end, r.inner) for r in kept.collect()}
+    shares: dict[str, dict[str, float]] = {}
     unseen: dict[str, float] = {}
     for c in SEEDS:
-        top = wide.where(F.col(c) >= 2).select("key", c).orderBy(F.desc(c), "key").limit(vocabulary).collect()
-        n = sum(r[1] for r in top) + 1.0
-        words[c] = {r[0]: float(np.log(r[1] / n)) for r in top}
+        rows = wide.where(F.col(c) >= least(2, totals[c])).select("key", c).collect()
+        n = sum(r[1] for r in rows) + 1.0
+        shares[c] = {r[0]: float(np.log(r[1] / n)) for r in rows}
         unseen[c] = float(np.log(0.5 / n))
     wide.unpersist()
-    one = [v for k, v in contexts.items() if " " not in k and not k.startswith("- ")]
-    ends, inner = sum(v[0] for v in one), sum(v[1] for v in one)
     floor = min(unseen.values(), default=-12.0)  # one cost for a word that a language lacks, whatever the language's size
-    return Models(words, {c: floor for c in unseen}, contexts, ends / (ends + inner or 1))
+    return Models(shares, {c: floor for c in unseen}, contexts, share)
 
 
 def broken_pairs(runs: DataFrame, id_col: str = "run_id") -> DataFrame:

@@ -1,6 +1,9 @@
+import random
+import time
+
 import pytest
 
-from querndal.llm.pair_defects import Models, broken_pairs, is_copy, is_empty, is_refusal, is_truncated, languages
+from querndal.llm.pair_defects import Models, _covered, broken_pairs, is_copy, is_empty, is_refusal, is_truncated, languages
 
 NONE = Models({"en": {"the": -1.0, "files": -3.0}, "de": {"die": -1.0, "dateien": -3.0}}, {"en": -9.0, "de": -9.0}, {"laut Dr.": (0, 40), "Dr.": (0, 40), "ready.": (20, 30)}, 0.3)
 
@@ -51,6 +54,42 @@ def test_languages():
     assert languages("- 文書\n- 記録", NONE) == {"zh", "ja"}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_copies_of_any_length_end_soon(seed):
+    """A copied megabyte, and one that only repeats pieces of its prompt."""
+    rng = random.Random(seed)
+    prompt = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(150_000))
+    began = time.time()
+    assert is_copy(prompt, prompt) and is_copy("a b " * 250_000, "a b " * 250_000)
+    pieces = [prompt[i : i + 12] for i in range(0, len(prompt) - 12, 12)]
+    rng.shuffle(pieces)
+    is_copy(prompt, " ".join(pieces))
+    assert not is_copy(prompt, "x" * 1_000_000)
+    assert time.time() - began < 30
+
+
+def test_cover_is_that_of_all_common_runs():
+    rng = random.Random(7)
+    for _ in range(300):
+        p, r = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 30))) for _ in range(2))
+        covered = {k for i in range(len(r) - 3) for k in range(i, i + 4) if r[i : i + 4] in p}
+        assert _covered(r, p, 4) == len(covered)
+
+
+def test_list_item_that_breaks_off():
+    models = Models({"en": {}}, {"en": -9.0}, {"- the red filter": (9, 1), "- the": (0, 0), "- rows": (5, 5)}, 0.3)
+    assert models.begins_longer_item("- the r") and not models.begins_longer_item("- rows") and not models.begins_longer_item("- zebra")
+    assert is_truncated("- rows\n- the red", models) and not is_truncated("- the red filter\n- rows", models)
+
+
+def test_longer_contexts_decide_over_shorter_ones(spark):
+    """``Nr.`` goes on; after ``jede`` it ends: both counts reach the model."""
+    rows = [(i, None, f"Laut Nr. {i} gilt das. Fertig.") for i in range(200)] + [(1000 + i, None, "Das ist jede Nr.") for i in range(12)] + [(2000 + i, None, f"Wort{i} sagt alles Gute.") for i in range(200)]
+    rows += [(5000, None, "Siehe Nr.")]
+    df = spark.createDataFrame(rows, "run_id bigint, prompt string, response string")
+    assert {tuple(r) for r in broken_pairs(df).collect()} == {(5000, "truncated")}
+
+
 def test_table(spark):
     rows = [(1, "Which files were lost?", None), (2, "Which files were lost?", "Which files were lost?"), (3, "Which files were lost?", "I can't help with that."), (4, "Which files were lost?", "これは三つのファイルです。"), (5, "Which files were lost?", "The files of the"), (6, "Which files were lost?", "Three."), (7, None, "Three files were lost."), (7, None, "Three files were lost."), (8, "", "x" * 200_000 + ".")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "run_id bigint, prompt string, response string, defect string")
