@@ -9,8 +9,7 @@
 
 Miss chance: a pair at similarity s shares no band with chance (1 - s^rows)^bands, 0.0004 at 0.6 for 3 rows and 32 bands,
 and 0.0014 if all its bands are hot and need one of 8 further bands as well; the
-pruning adds at most ``miss``. Signatures keep 8 bits an entry for step 3, so entries of a pair agree with chance
-s + (1 - s) / 256.
+pruning adds at most ``miss``.
 
 Edge cases: texts that are null or have under ``min_tokens`` tokens take no part; equal texts count as pairs;
 other columns are ignored.
@@ -29,18 +28,23 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 from .buckets import meeting_pairs
-from .tokens import Tokens, band_keys, in_passes, list_array, minhash, segment_hashes
+from .tokens import Tokens, band_keys, in_passes, minhash, mix, segment_hashes
 
 HASHES, ROWS = 96, 3
 #: Signature entries of one step of the verification.
 STEP = 16
 #: Bands that a hot band is combined with.
 FURTHER = 8
+#: Most ids of a Bloom filter.
+FILTERED = 8_000_000
 
 
 @functools.cache
 def least_matches(threshold: float, miss: float, step: int = STEP, hashes: int = HASHES) -> tuple[int, ...]:
-    """For each number of compared entries, the fewest matches whose posterior chance of reaching ``threshold`` is at least ``miss``."""
+    """For each number of compared entries, the fewest matches whose posterior chance of reaching ``threshold`` is at least ``miss``.
+
+    Entries are taken to have 8 bits, as in the sketch of bucket rows; full ones agree by chance even less.
+    """
     s = (np.arange(2000) + 0.5) / 2000
     p = s + (1 - s) / 256
     out = []
@@ -54,7 +58,7 @@ def least_matches(threshold: float, miss: float, step: int = STEP, hashes: int =
 
 
 def posterior_survivors(a: np.ndarray, b: np.ndarray, threshold: float, miss: float) -> np.ndarray:
-    """Row numbers of the pairs of signatures (uint8 matrices) that no step prunes."""
+    """Row numbers of the pairs of signatures (matrices) that no step prunes."""
     alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
     for k, least in enumerate(least_matches(threshold, miss)):
         part = slice(k * STEP, (k + 1) * STEP)
@@ -65,11 +69,11 @@ def posterior_survivors(a: np.ndarray, b: np.ndarray, threshold: float, miss: fl
 
 
 def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist() if isinstance(column, pa.Array) else column.tolist()), np.uint8).reshape(-1, HASHES)
+    return np.frombuffer(b"".join(column.to_pylist() if isinstance(column, pa.Array) else column.tolist()), np.uint16).reshape(-1, HASHES)
 
 
 def signatures(texts: DataFrame, width: int, min_tokens: int) -> DataFrame:
-    """``(id, f1, f2, s0, s1, signature, bands)`` of every text with at least ``min_tokens`` tokens; f1, f2 name its class, s0, s1 are the signature's first STEP entries."""
+    """``(id, f1, f2, signature)`` of every text with at least ``min_tokens`` tokens; f1, f2 name its class. Signature entries have 16 bits."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,29 +84,48 @@ def signatures(texts: DataFrame, width: int, min_tokens: int) -> DataFrame:
                 rows = np.flatnonzero((t.counts() >= min_tokens) & (n > 0))
                 inside = np.repeat(np.isin(np.arange(len(n)), rows), n)
                 grams, starts = grams[inside], np.cumsum(n[rows]) - n[rows]
-                m = minhash(grams, starts, HASHES)
-                keys, small = band_keys(m, ROWS), m.astype(np.uint8)
-                head = np.ascontiguousarray(small[:, :STEP]).view(np.int64)
+                m = minhash(grams, starts, HASHES).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id").take(pa.array(rows)),
                         *(pa.array(segment_hashes(g, starts).astype(np.int64)) for g in (grams, grams * np.uint64(0xD6E8FEB86659FD93))),
-                        pa.array(head[:, 0]),
-                        pa.array(head[:, 1]),
-                        pa.array([x.tobytes() for x in small], pa.binary()),
-                        list_array(keys.ravel(), np.arange(len(rows) + 1) * keys.shape[1], pa.int64()),
+                        pa.array([x.tobytes() for x in m], pa.binary()),
                     ],
-                    ["id", "f1", "f2", "s0", "s1", "signature", "bands"],
+                    ["id", "f1", "f2", "signature"],
                 )
 
-    return texts.mapInArrow(sign, "id bigint, f1 bigint, f2 bigint, s0 bigint, s1 bigint, signature binary, bands array<bigint>")
+    return texts.mapInArrow(sign, "id bigint, f1 bigint, f2 bigint, signature binary")
+
+
+def _keyed(ids: pa.Array, m: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """Bucket rows: each row's keys with its id and, as its sketch, the low bytes of its first STEP entries."""
+    per = keys.shape[1]
+    head = np.ascontiguousarray(m[:, :STEP].astype(np.uint8)).view(np.int64)
+    columns = [keys.ravel(), np.repeat(ids.to_numpy(), per), np.repeat(head[:, 0], per), np.repeat(head[:, 1], per)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "s0", "s1"])
+
+
+_ROW = "key bigint, id bigint, s0 bigint, s1 bigint"
+
 
+def _bucket_rows(reps: DataFrame) -> DataFrame:
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = _matrix(batch.column("signature"))
+            yield _keyed(batch.column("id"), m, band_keys(m, ROWS))
+
+    return reps.select("id", "signature").mapInArrow(bands, _ROW)
 
-def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """``(id, grams)``: the distinct shingle hashes of each text, ascending."""
+
+def shingle_sets(texts: DataFrame, width: int, among: np.ndarray | None = None) -> DataFrame:
+    """``(id, grams)``: the distinct shingle hashes of each text, ascending; with the Bloom filter ``among`` only of ids that pass it."""
+    shared = texts.sparkSession.sparkContext.broadcast(among)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if shared.value is not None:
+                at = _bits(batch.column("id").to_numpy(), len(shared.value))
+                batch = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool).all(0)))
             for part in in_passes(batch, "text"):
                 grams, offsets = Tokens([x.lower() for x in part.column("text").to_pylist()]).shingles(width)
                 out = [np.unique(grams[a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -111,6 +134,33 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(sets, "id bigint, grams binary")
 
 
+def _bits(ids: np.ndarray, words: int) -> np.ndarray:
+    """Bits of each id in a Bloom filter of ``words`` words, as a matrix (2, ids)."""
+    h = mix(ids.view(np.uint64))
+    return np.stack([h, mix(h + np.uint64(1))]) % np.uint64(64 * words)
+
+
+def _sets_of(texts: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+    """``shingle_sets`` of at least the texts whose id is needed.
+
+    Up to FILTERED ids a Bloom filter of 16 bits each (at most 16 MB) goes to the tasks, and no text is shuffled; more are joined by id.
+    """
+    n = needed.count()
+    if n > FILTERED:
+        return shingle_sets(texts.join(needed, "id", "left_semi"), width)
+    words = max(1, n // 4)
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_bits(batch.column("id").to_numpy(), words))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "mark"])
+
+    among = np.zeros(words, np.uint64)
+    for r in needed.mapInArrow(marks, "word bigint, mark bigint").groupBy("word").agg(F.bit_or("mark")).toLocalIterator():
+        among[r[0]] = np.int64(r[1]).astype(np.uint64)
+    return shingle_sets(texts, width, among)
+
+
 def _exact(threshold: float):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,10 +174,6 @@ def _exact(threshold: float):
     return check
 
 
-def _bucket_rows(reps: DataFrame) -> DataFrame:
-    return reps.select(F.explode("bands").alias("key"), "id", "s0", "s1")
-
-
 def _first_step(threshold: float, miss: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """The first step of the verification, on the sketches of bucket rows."""
     least = least_matches(threshold, miss)[0]
@@ -141,9 +187,16 @@ def _first_step(threshold: float, miss: float) -> Callable[[np.ndarray, np.ndarr
 
 def _finer(reps: DataFrame, hot: DataFrame) -> DataFrame:
     """Bucket rows for hot bands: a band's key together with that of each of the FURTHER bands after it, so 2 * ROWS entries have to agree."""
-    placed = hot.join(reps, "id").withColumn("at", F.array_position("bands", F.col("key")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.lit(FURTHER - 1)), lambda j: F.element_at("bands", F.pmod(F.col("at") + j, F.size("bands")) + 1))
-    return placed.select("id", "s0", "s1", "key", F.explode(others).alias("other")).select(F.xxhash64("key", "other").alias("key"), "id", "s0", "s1")
+
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, key = _matrix(batch.column("signature")), batch.column("key").to_numpy()[:, None]
+            bands = band_keys(m, ROWS)
+            others = (np.argmax(bands == key, axis=1)[:, None] + np.arange(1, FURTHER + 1)) % bands.shape[1]
+            both = mix(key.view(np.uint64) ^ mix(np.take_along_axis(bands, others, axis=1).view(np.uint64)))
+            yield _keyed(batch.column("id"), m, both.view(np.int64))
+
+    return hot.join(reps, "id").select("id", "key", "signature").mapInArrow(combined, _ROW)
 
 
 def _verify(threshold: float, miss: float) -> Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame]:
@@ -178,8 +231,7 @@ def near_duplicate_classes(records: DataFrame, id_col: str, text_col: str, thres
     both = candidates.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     alive = both.mapInArrow(prune, "a bigint, b bigint")
     alive = cut(alive)
-    needed = alive.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    grams = shingle_sets(texts.join(needed, "id", "left_semi"), width)
+    grams = _sets_of(texts, alive.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width)
     links = alive.join(grams.toDF("a", "grams_a"), "a").join(grams.toDF("b", "grams_b"), "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_exact(threshold), "a bigint, b bigint")
     return members, links
 
