@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from querndal.llm.sentences import enclosed, find_sentences, paragraphs, split_sentences, train
@@ -49,6 +51,18 @@ def test_paragraphs_and_quotes():
     assert enclosed('x "a (b) c" d „e“ (f') == [(2, 10), (14, 16)]
 
 
+@pytest.mark.parametrize("text", ["คำ" * 500_000, "คำ" * 300_000 + " ต่อ", "aB." * 300_000, "(" * 200_000 + "]" * 200_000, '"a. " ' * 100_000, "7. " * 100_000, "x" * 1_000_000 + ". Y", "中" * 500_000, "ก." * 200_000 + " ข", "a.B@" * 100_000], ids=range(10))
+def test_a_megabyte_of_anything_ends_soon(model, text):
+    began = time.time()
+    found = find_sentences(text, model)
+    assert found[0][0] == 0 and found[-1][1] == len(text.rstrip()) and time.time() - began < 20
+
+
+def test_marks_within_thai(model):
+    text = "ค่าเกณฑ์3.70เพียงพอ ผู้ดูแลa.txtตรวจ"
+    assert [text[a:b] for a, b in find_sentences(text, model)] == text.split(" ")
+
+
 def test_table(spark, model):
     rows = [(1, "One here. Two there."), (1, "One here. Two there."), (2, None), (3, ""), (4, "x. " * 30_000)]
     df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id bigint, text string, sent_no int")
