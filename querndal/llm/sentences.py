@@ -58,7 +58,8 @@ _chunk = re.compile(f"[^{_WS}]+")
 _thai_space = re.compile(f"[ \xa0\u3000]+(?=[^{_WS}])")
 _address = re.compile(r"[/@\\]|www\.")
 _marker = re.compile(rf"(?:[-*•–·#]+\d*|\(?\d{{1,3}}[.)]|\(?[A-Za-z][.)]|[^\W\d_]{{1,8}}(?: \d{{1,3}})?[:：])[{_WS}]+")
-_stops_left = re.compile(rf"[{_WS}{re.escape(''.join(CLOSING) + _CLOSERS)}{_CJK}]")
+_STOPS_LEFT = frozenset(_WS + "".join(CLOSING) + _CLOSERS + "".join(c for c in map(chr, range(0x3040, 0xFFA0)) if re.match(f"[{_CJK}]", c)))
+_FREE = frozenset(FREE_MARKS)
 #: Right words: in scripts without spaces the first characters, else up to white space; what is longer than 64 characters is no word.
 _RIGHT = rf"[{_CJK}]{{1,2}}|{_THAI}{{1,4}}|[^{_WS}{_CJK}\u0e00-\u0e7f]{{1,64}}"
 _right_word = re.compile(_RIGHT)
@@ -148,11 +149,14 @@ def _back_to(p: str, at: int, least: int, stops: Callable[[str], object]) -> int
     return at
 
 
+_not_closer = lambda c: c not in _CLOSERS
+
+
 def _clusters(p: str) -> Iterator[tuple[int, int, bool]]:
     """Runs of end marks with the closing quotes and brackets around them."""
     done = 0
     for m in _marks.finditer(p):
-        yield _back_to(p, m.start(), done, lambda c: c not in _CLOSERS), m.end(), False
+        yield _back_to(p, m.start(), done, _not_closer), m.end(), False
         done = m.end()
 
 
@@ -183,7 +187,7 @@ class _Addresses:
 
 def _unspaced(p: str, a: int, b: int, addresses: _Addresses) -> bool:
     """May the end cluster p[a:b] end a sentence though no white space follows?"""
-    if p[b - 1] in FREE_MARKS or p[b - 1] in "」』）】》" or any(c in FREE_MARKS for c in p[a:b]) or (a and _cjk.match(p[a - 1])):
+    if p[b - 1] in FREE_MARKS or p[b - 1] in "」』）】》" or not _FREE.isdisjoint(p[a:b]) or (a and _cjk.match(p[a - 1])):
         return True
     if p[b - 1] in '"”“»)' and re.match(r"[^\W_a-z]", p[b]):
         return True
@@ -221,7 +225,7 @@ def slots(p: str) -> tuple[list[Slot], Slot]:
             left, start = THAI, a
         else:
             mark = p[a:b]
-            start = _back_to(p, a, max(previous, 0), _stops_left.match)
+            start = _back_to(p, a, max(previous, 0), _STOPS_LEFT.__contains__)
             left = _word(p[start:a]) + mark
             if _number.match(left):
                 ink = _ink_before(p, start)
@@ -333,14 +337,15 @@ def find_sentences(text: str | None, model: Model) -> list[tuple[int, int]]:
     return [x for a, b, s, _ in scan(text) for x in decide(a, b, s, model)]
 
 
-_mid_word = re.compile(
-    rf"(?<=[^{_WS}{re.escape(MARKS + FREE_MARKS + _CLOSERS)}\u0e00-\u0e7f])[{_WS}]+(?=({_RIGHT}))|[，、：](?=([{_CJK}]{{1,2}}))"
-)
+_after_comma = re.compile(rf"[，、：](?=([{_CJK}]{{1,2}}))")
+_NO_MID = frozenset(MARKS + FREE_MARKS + _CLOSERS + "".join(map(chr, range(0x0E00, 0x0E80))))
 
 
-def _mid_words(p: str) -> list[tuple[str, str]]:
-    """Words that surely continue a sentence, one of each pair."""
-    return _mid_word.findall(p)
+def _mid_words(p: str) -> list[str]:
+    """Words that surely continue a sentence: those that follow neither an end mark, nor a closing quote or bracket, nor Thai."""
+    words = p.split()
+    out = [w for before, w in zip(words, words[1:], strict=False) if before[-1] not in _NO_MID]
+    return out if p.isascii() else [w if w.isascii() else _right_word.match(w).group() for w in out] + _after_comma.findall(p)
 
 
 _SCANNED = "at binary, after binary, flag binary, words string, spans binary, kind string, left string, f int, right string, n bigint"
@@ -356,8 +361,8 @@ def scanned(texts: DataFrame) -> DataFrame:
         schema: pa.Schema | None = None
 
         def counts() -> pa.RecordBatch:
-            for pair, n in mids.items():
-                w = _word(pair[0] or pair[1])
+            for w, n in mids.items():
+                w = _word(w[:64])
                 seen["mid", "", 0, w.rstrip(".,;:!?…") or w] += n
             rows = list(seen.items())
             columns = [pa.array([r[0][i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.string()))]
