@@ -1,7 +1,7 @@
 """Retrievers: a stated query set against all chunks, each giving (query_id, ord, score, rank).
 
-Chunks are scored where they lie: each task scores its batches against the queries in one matrix product and keeps the k best a query, so
-that only k rows a query and batch are shuffled. The query set is broadcast in slices of at most ``SLICE`` queries, one pass a slice.
+Chunks are scored where they lie: each task scores its batches against the queries and keeps a running list of the k best a query, so
+that only k rows a query and task are shuffled. The query set is broadcast in slices of at most ``SLICE`` queries, or of words, one pass a slice.
 Ties go to the smaller ``ord`` after scores are rounded to 6 places.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..runtime import bounded, cut
+from ..runtime import cut
 from .aggregates import top_by
 
 #: Most queries, and most distinct query words, of one broadcast.
@@ -52,6 +52,35 @@ def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
     return row[keep], col[keep]
 
 
+class Best:
+    """The k best rows of each of ``n`` queries over all batches of a task; ties by ascending id."""
+
+    def __init__(self, k: int, n: int):
+        self.k, self.least = k, np.full(n, -np.inf)
+        self.col, self.ids, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.lo, self.hi = np.full(n, np.inf), np.full(n, -np.inf)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of a batch (rows by queries); NaN never counts."""
+        if not len(scores):
+            return
+        some = ~np.isnan(scores)
+        self.lo = np.minimum(self.lo, np.where(some, scores, np.inf).min(0))
+        self.hi = np.maximum(self.hi, np.where(some, scores, -np.inf).max(0))
+        with np.errstate(invalid="ignore"):
+            row, col = best_rows(np.where(scores >= self.least, scores, np.nan), ids, self.k)
+        self.put(col, ids[row], scores[row, col])
+
+    def put(self, col: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        col, ids, score = np.concatenate([self.col, col]), np.concatenate([self.ids, ids]), np.concatenate([self.score, score])
+        order = np.lexsort((ids, -score, col))
+        place = np.arange(len(order)) - np.searchsorted(col[order], col[order])
+        kept = order[place < self.k]
+        self.col, self.ids, self.score = col[kept], ids[kept], score[kept]
+        full = order[place == self.k - 1]
+        self.least[col[full]] = score[full]
+
+
 def _merge(parts: list[DataFrame], k: int) -> DataFrame:
     return top_by(reduce(DataFrame.unionAll, parts), "query_id", k)
 
@@ -70,21 +99,16 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared, width=width) -> Iterator[pa.RecordBatch]:
             q, ids = shared.value
+            best = Best(k, len(q))
             with np.errstate(divide="ignore", invalid="ignore"):
                 unit = q / np.linalg.norm(q, axis=1, keepdims=True)
-                for batch in batches:
-                    for low in range(0, batch.num_rows, 4096):
-                        part = batch.slice(low, 4096)
-                        v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-                        if metric == "cosine":
-                            s = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ unit.T
-                        else:
-                            s = 1 / (1 + np.maximum((v * v).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * v @ q.T, 0))
-                        s = np.round(s, 6)
-                        order = part.column(0).to_numpy()
-                        row, col = best_rows(s, order, k)
-                        lo, hi = (f(s, axis=0) if len(s) else np.zeros(len(q)) for f in (np.nanmin, np.nanmax))
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[col]), pa.array(order[row]), pa.array(s[row, col]), pa.array(lo[col]), pa.array(hi[col])], ["query_id", "ord", "score", "lo", "hi"])
+                for order, v in _matrices(batches, width, 4096):
+                    if metric == "cosine":
+                        s = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ unit.T
+                    else:
+                        s = 1 / (1 + np.maximum((v * v).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * v @ q.T, 0))
+                    best.add(np.round(s, 6), order)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[best.col], best.ids, best.score, best.lo[best.col], best.hi[best.col])], ["query_id", "ord", "score", "lo", "hi"])
 
         sized = chunks.select(F.col("ord").cast("bigint"), F.col("vector")).where(F.col("vector").isNotNull() & (F.size("vector") == width))
         found.append(sized.mapInArrow(score, "query_id bigint, ord bigint, score double, lo double, hi double"))
@@ -131,48 +155,68 @@ def lexical(docs: DataFrame, queries: DataFrame, k: int, scheme: str = "bm25", t
     else:
         worded = worded.withColumn("scale", F.lit(1.0))
     terms = asked.select(F.explode("words").alias("term")).distinct()
-    table = {r[0]: r[1] for r in bounded(weighted.join(terms, "term"), WORDS, "the query vocabulary").collect()}
-    names = sorted(table)
-    place = {w: i for i, w in enumerate(names)}
-    found = []
-    for rows in _slices(asked, ["words"]):
-        matrix = np.zeros((len(names), len(rows)))
-        for j, r in enumerate(rows):
-            for w in r[1]:
-                if w in place:
-                    matrix[place[w], j] += table[w]
-        if scheme == "tfidf":
-            size = np.sqrt((matrix**2).sum(0))
-            matrix = matrix * np.array([table[w] for w in names])[:, None] / np.where(size == 0, 1, size)
-        shared = spark.sparkContext.broadcast((names, matrix, np.array([r[0] for r in rows], np.int64)))
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, matrix, ids = shared.value
-            known = pa.array(names, pa.string())
-            for batch in batches:
-                for low in range(0, batch.num_rows, 256):
-                    part = batch.slice(low, 256)
-                    lists, order, scale = part.column(1), part.column(0).to_numpy(), part.column(2).to_numpy()
-                    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-                    term = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
-                    doc = np.repeat(np.arange(len(sizes)), sizes)
-                    code, tf = np.unique(doc[term >= 0] * np.int64(len(names) + 1) + term[term >= 0], return_counts=True)
-                    doc, term = code // (len(names) + 1), code % (len(names) + 1)
-                    if not len(doc):
-                        continue
-                    w = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / length)) if scheme == "bm25" else tf / scale[doc]
-                    heads = np.flatnonzero(np.diff(doc, prepend=-1))
-                    s = np.round(np.add.reduceat(matrix[term] * w[:, None], heads, axis=0), 6)
-                    touched = np.add.reduceat((matrix[term] != 0).astype(np.int32), heads, axis=0) > 0
-                    row, col = best_rows(np.where(touched, s, np.nan), order[doc[heads]], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[col]), pa.array(order[doc[heads]][row]), pa.array(s[row, col])], ["query_id", "ord", "score"])
-
-        found.append(worded.select("ord", "words", "scale").mapInArrow(score, "query_id bigint, ord bigint, score double"))
+    known = cut(weighted.join(terms, "term"))
+    n_words = known.count()
+    found = [
+        _lexical_slice(worded, table, rows, k, scheme, length)
+        for rows in _slices(asked, ["words"], SLICE if n_words <= WORDS else max(1, SLICE * WORDS // n_words))
+        if (table := _weights_of(known, rows, n_words))
+    ]
     if not found:
         return spark.createDataFrame([], "query_id bigint, ord bigint, score double, rank int")
     return _merge(found, k)
 
 
+def _weights_of(known: DataFrame, rows: list, n_words: int) -> dict[str, float]:
+    """Weights of the words of some queries: all of ``known`` where they are few, else those of these queries by a join."""
+    if n_words > WORDS:
+        words = sorted({w for r in rows for w in r["words"]})
+        known = known.join(known.sparkSession.createDataFrame([(w,) for w in words], "term string"), "term")
+    return {r["term"]: r["weight"] for r in known.collect()}
+
+
+def _lexical_slice(worded: DataFrame, table: dict[str, float], rows: list, k: int, scheme: str, length: float) -> DataFrame:
+    """The best documents of each task for some queries, by postings of the queries' words: ``(query_id, ord, score)``."""
+    names = sorted({w for r in rows for w in r["words"] if w in table})
+    place = {w: i for i, w in enumerate(names)}
+    idf = np.array([table[w] for w in names])
+    code = np.array([place[w] * len(rows) + j for j, r in enumerate(rows) for w in r["words"] if w in place], np.int64)
+    code, times = np.unique(code, return_counts=True)
+    term, query = code // len(rows), code % len(rows)
+    weight = times * idf[term]
+    if scheme == "tfidf":
+        size = np.sqrt(np.bincount(query, weight**2, minlength=len(rows)))
+        weight = weight * idf[term] / np.where(size == 0, 1, size)[query]
+    starts = np.searchsorted(term, np.arange(len(names) + 1))
+    shared = worded.sparkSession.sparkContext.broadcast((names, starts, query, weight, np.array([r[0] for r in rows], np.int64)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, starts, query, weight, ids = shared.value
+        known, best = pa.array(names, pa.string()), Best(k, len(ids))
+        step = max(16, 2_000_000 // len(ids))
+        for batch in batches:
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
+                lists, order, scale = part.column(1), part.column(0).to_numpy(), part.column(2).to_numpy()
+                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                term = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                code, tf = np.unique(doc[term >= 0] * np.int64(len(names) + 1) + term[term >= 0], return_counts=True)
+                doc, term = code // (len(names) + 1), code % (len(names) + 1)
+                w = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / length)) if scheme == "bm25" else tf / scale[doc]
+                n = starts[term + 1] - starts[term]
+                at = np.repeat(starts[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                cell = np.repeat(doc, n) * len(ids) + query[at]
+                # Documents without a common word stay NaN, which never counts.
+                s = np.full(len(order) * len(ids), np.nan)
+                s[cell] = 0.0
+                s += np.bincount(cell, weight[at] * np.repeat(w, n), minlength=len(s))
+                best.add(np.round(s, 6).reshape(len(order), len(ids)), order)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[best.col]), pa.array(best.ids), pa.array(best.score)], ["query_id", "ord", "score"])
+
+    return worded.select("ord", "words", "scale").mapInArrow(score, "query_id bigint, ord bigint, score double")
+
+
 def marginal_relevance(pool: DataFrame, k: int, weight: float = 0.5) -> DataFrame:
     """MMR over a ranked pool ``(query_id, query_vector, ord, vector)`` of bounded size: k rows a query as ``(query_id, ord, score, rank)``.
 
@@ -341,13 +385,19 @@ def _svm_slice(x: DataFrame, n: int, q_rows: list, k: int, c: float, rounds: int
                     a = v[inside[:, j]]
                     total[j, :, :d] += a.T @ a
                     total[j, :, d] -= a.sum(0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w), dtype=np.int32)), pa.array(total.reshape(len(w), -1).tolist(), pa.list_(pa.float64()))], ["q", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w), dtype=np.int32)), pa.array([t.tobytes() for t in total], pa.binary())], ["q", "m"])
 
-        summed = x.mapInArrow(sums, "q int, m array<double>").select("q", F.posexplode("m").alias("i", "v")).groupBy("q", "i").agg(F.sum("v").alias("v")).collect()
-        total = np.zeros((len(q), d * (d + 1)))
-        for r in summed:
-            total[r[0], r[1]] = r[2]
-        total = total.reshape(len(q), d, d + 1)
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for j, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    total[j] = total[j] + np.frombuffer(m) if j in total else np.frombuffer(m)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["q", "m"])
+
+        # Each query's matrices of all tasks meet in one task as they stream by; one matrix a query comes back.
+        total = np.zeros((len(q), d, d + 1))
+        for r in x.mapInArrow(sums, "q int, m binary").repartition("q").mapInArrow(add, "q int, m binary").collect():
+            total[r[0]] = np.frombuffer(r[1]).reshape(d, d + 1)
         new = np.zeros_like(w)
         for j in range(len(q)):
             h, g = 2 * negative * total[j, :, :d], 2 * negative * total[j, :, d]
@@ -362,13 +412,12 @@ def _svm_slice(x: DataFrame, n: int, q_rows: list, k: int, c: float, rounds: int
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, own = shared.value
+        best = Best(k, len(w))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            s, order = np.round(features(batch) @ w.T, 6), batch.column(0).to_numpy()
-            row, col = best_rows(s, order, k)
-            lo, hi = np.minimum(s.min(0), own), np.maximum(s.max(0), own)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[col]), pa.array(order[row]), pa.array(s[row, col]), pa.array(lo[col]), pa.array(hi[col])], ["query_id", "ord", "score", "lo", "hi"])
+            if batch.num_rows:
+                best.add(np.round(features(batch) @ w.T, 6), batch.column(0).to_numpy())
+        c = best.col
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[c], best.ids, best.score, np.minimum(best.lo, own)[c], np.maximum(best.hi, own)[c])], ["query_id", "ord", "score", "lo", "hi"])
 
     return x.mapInArrow(decide, "query_id bigint, ord bigint, score double, lo double, hi double")
 

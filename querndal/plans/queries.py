@@ -19,7 +19,7 @@ from ..operators import retrieve as R
 from ..operators import summarize as SM
 from ..operators import windows as W
 from ..operators.models import answer, embed
-from ..runtime import parallel, shared_dir, table
+from ..runtime import cut, parallel, shared_dir, table
 from ..sources import ledger as L
 from ..sources import store
 from ..sources.html import extract_page, last_modified
@@ -308,7 +308,7 @@ def rerank_stub(spark, d):
 
 def _hybrid(spark, d):
     docs = parallel(table(spark, d, "documents").select(F.col("doc_id").alias("ord"), "text"))
-    chunks = docs.join(_vectors(spark, d), "ord").where("text is not null")
+    chunks = cut(docs.join(_vectors(spark, d), "ord").where("text is not null"))  # read by several retrievers
     queries = chunks.where("ord % 50 = 0").select(F.col("ord").alias("query_id"), "text", "vector")
     return chunks, queries
 
