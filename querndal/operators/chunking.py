@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,6 +110,16 @@ def halve(text: str, most: int, count: Callable[[str], int] = n_words) -> list[s
     return [text[i : i + width] for i in range(0, len(text), width)]
 
 
+def halves(text: Column, most: int, count: Callable[[str], int] = n_words) -> Column:
+    """``halve`` of each text over ``most`` tokens, others whole, in Arrow batches; null for null."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else halve(t, most, count) if count(t) > most else [t])
+
+    return run(text)
+
+
 def pack_documents(docs: DataFrame, by: str, order: str, text: str, budget: int, piece_limit: int | None = None) -> DataFrame:
     """Greedy bins of consecutive texts: ``(by, bin, text, n_tokens)``.
 

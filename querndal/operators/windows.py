@@ -49,7 +49,7 @@ def disjoint_starts(rows: DataFrame, by: str, order: str, size: int, seed: int =
     w = Window.partitionBy(by).orderBy(order)
     placed = rows.select(by, order).withColumn("n", F.row_number().over(w) - 1)
     counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
-    shift = F.pmod(F.xxhash64(F.lit(seed), by), F.lit(size))
+    shift = F.pmod(F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), F.col(by).cast("string"))), F.lit(8)), 16, 10).cast("bigint"), F.lit(size))
     return placed.join(counts, by).where((F.pmod(F.col("n") - shift, F.lit(size)) == 0) & (F.col("n") >= shift) & (F.col("n") + size <= F.col("total"))).select(by, F.col(order).alias("start"))
 
 

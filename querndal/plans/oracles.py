@@ -75,7 +75,76 @@ _TURNS = "t AS (SELECT conv_id, list(coalesce(content, '') ORDER BY turn, coales
 _ATTR = "try_cast(trim(metadatas['{}'], ' ') AS BIGINT)"
 _SOURCED = "d AS (SELECT * FROM documents WHERE source IS NOT NULL)"
 
+_PY = _WS.replace("[", r"[\x1C-\x1F", 1)  # white space as Python has it
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '^{_PY}+', ''), '{_PY}+$', '')"
+
+
+def _first_sentence(c: str) -> str:
+    """The stand-in model's answer to a prompt."""
+    last = f"string_split({_strip(c)}, chr(10) || chr(10))[-1]"
+    cases = " ".join(f"WHEN contains({last}, {m}) THEN left({_strip(f'string_split({last}, {m})[1]')}, 200) || {_strip(m)}" for m in ("'。'", "'. '", "'! '", "'? '", "chr(10)"))
+    return f"CASE {cases} ELSE left({last}, 200) END"
+
+
+def _overlap(query: str, text: str) -> str:
+    """Share of the query's words that the text holds."""
+    a, b = (f"list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '{_NWS}'))" for c in (query, text))
+    return f"round(len(list_intersect({a}, {b})) / greatest(len({a}), 1), 6)"
+
+
+def _halves(text: str, most: int) -> str:
+    """List of a text's slices, whose width is halved until the first fits."""
+    parts = f"list_filter([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768, 65536], lambda p: {_words(f'{text}[1:length({text}) // p]')} <= {most})[1]"
+    width = f"greatest(1, length({text}) // {parts})"
+    return f"list_transform(range(0, length({text}), {width}), lambda i: substring({text}, CAST(i + 1 AS BIGINT), {width}))"
+
+
+_DRAWN = """w AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, count(*) OVER (PARTITION BY source) AS total, ('0x' || left(md5('0:' || source), 8))::BIGINT % {size} AS shift,
+    list(coalesce(text, '')) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN CURRENT ROW AND {last} FOLLOWING) AS texts FROM d),
+  drawn AS (SELECT source, doc_id AS start, texts FROM w WHERE n >= shift AND (n - shift) % {size} = 0 AND n + {size} <= total)"""
+
 ORACLES = {
+    "rerank_stub": f"""WITH {_DOCS}, {_lexical('bm25', 'docs', 'queries', 20)}, p AS (SELECT r.query_id, r.ord, {_overlap('q.text', 'd.text')} AS score FROM bm25_r r JOIN docs d USING (ord) JOIN queries q ON q.query_id = r.query_id)
+      SELECT query_id, ord, score, CAST({_RANK} AS INTEGER) AS rank FROM p WHERE score >= 0.2""",
+    "auto_rerank_stub": f"""WITH {_HYBRID.replace("<= 10", "<= 20")}, good AS (SELECT query_id, ord, CAST({_RANK} AS INTEGER) AS rank FROM s WHERE score >= 0.3),
+      few AS (SELECT query_id FROM good GROUP BY 1 HAVING count(*) < (SELECT greatest(10, count(*) // 10) FROM v WHERE len(list_filter(vector, lambda x: x <> 0)) > 0)),
+      again AS (SELECT query_id, ord, CAST({_RANK} AS INTEGER) AS rank FROM (SELECT g.query_id, g.ord, {_overlap('q.text', 'v.text')} AS score FROM good g JOIN v USING (ord) JOIN q ON q.query_id = g.query_id)),
+      kept AS (SELECT * FROM good WHERE query_id IN (SELECT query_id FROM few) UNION ALL SELECT * FROM again WHERE query_id NOT IN (SELECT query_id FROM few)),
+      both_ AS (SELECT query_id, 0 AS tier, b.rank, ord, text FROM bm25_r b JOIN v USING (ord) WHERE score >= 70 AND rank <= 2 UNION ALL SELECT query_id, 1, rank, ord, text FROM kept JOIN v USING (ord)),
+      f AS ({"WITH " + _fused('both_', 'tier, rank, ord', 800)}) SELECT query_id, ord, place FROM f""",
+    "rag_answer_stub": f"""WITH {_HYBRID.replace("<= 10", "<= 5")}, both_ AS (SELECT query_id, 0 AS tier, b.rank, ord, text FROM bm25_r b JOIN v USING (ord) WHERE score >= 70 AND rank <= 2 UNION ALL SELECT query_id, 1, rank, ord, text FROM knn JOIN v USING (ord)),
+      f AS ({"WITH " + _fused('both_', 'tier, rank, ord', 300)}), c AS (SELECT query_id, string_agg(text, chr(10) || '----------------' || chr(10) ORDER BY place) AS context, count(*) AS n FROM f JOIN v USING (ord) GROUP BY 1),
+      p AS (SELECT q.query_id, 'Answer from the context.' || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || coalesce(context, '') AS p, coalesce(n, 0) AS n_chunks FROM q LEFT JOIN c USING (query_id))
+      SELECT query_id, {_first_sentence('p')} AS answer, n_chunks FROM p""",
+    "topic_questions_stub": f"""WITH {_HYBRID.replace("<= 10", "<= 5")}, k AS (SELECT query_id, rank, ord, text FROM knn JOIN v USING (ord)), f AS ({"WITH " + _fused('k', 'rank, ord', 300)}),
+      c AS (SELECT query_id, string_agg(text, chr(10) ORDER BY place) AS t FROM f JOIN v USING (ord) GROUP BY 1)
+      SELECT query_id, 'What is it about?' AS question, CAST(length('Write a question and its answer about this text, as ''question: ... answer: ...''.' || chr(10) || chr(10) || t) AS VARCHAR) AS answer FROM c""",
+    "model_answers": f"SELECT qid, {_first_sentence('question')} AS reply FROM questions",
+    "window_starts": f"WITH {_SOURCED}, {_DRAWN.format(size=3, last=2)} SELECT source, start FROM drawn",
+    "create_questions_stub": f"""WITH {_SOURCED}, {_DRAWN.format(size=2, last=1)}, p AS (SELECT source, start, 'Write a question and its answer about this text, as ''question: ... answer: ...''.' || chr(10) || chr(10) || array_to_string(texts, chr(10)) AS p FROM drawn)
+      SELECT source, start, 'What says ' || regexp_extract_all(p, '{_PY.replace("[", "[^", 1)}+')[-1] || '?' AS question, CAST(length(p) AS VARCHAR) AS answer FROM p""",
+    "halve_oversize": f"""WITH h AS (SELECT doc_id, CASE WHEN {_words('text')} > 40 THEN {_halves('text', 40)} ELSE [text] END AS p FROM documents WHERE text IS NOT NULL)
+      SELECT doc_id, CAST(i - 1 AS INTEGER) AS part, CAST(length(p[i]) AS INTEGER) AS n_chars FROM (SELECT doc_id, p, unnest(generate_series(1, len(p))) AS i FROM h)""",
+    "pack_calls": f"""WITH RECURSIVE {_SOURCED}, o AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, {_words('text')} AS n FROM d),
+      r AS (SELECT source, i, n AS size, 0 AS call, n FROM o WHERE i = 1
+        UNION ALL SELECT o.source, o.i, CASE WHEN 100 + r.size + o.n >= 1000 THEN o.n ELSE r.size + o.n END, CASE WHEN 100 + r.size + o.n >= 1000 THEN r.call + 1 ELSE r.call END, o.n FROM r JOIN o ON o.source = r.source AND o.i = r.i + 1)
+      SELECT source, CAST(call AS INTEGER) AS call, CAST(count(*) AS INTEGER) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_tokens FROM r GROUP BY ALL""",
+    "pack_documents": f"""WITH RECURSIVE {_SOURCED}, o AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, coalesce(text, '') AS t, {_words('text')} AS n FROM d),
+      r AS (SELECT source, i, CASE WHEN n > 1000 THEN 0 ELSE n END AS size, 0 AS g, n > 1000 AS big FROM o WHERE i = 1
+        UNION ALL SELECT o.source, o.i, CASE WHEN o.n > 1000 THEN 0 WHEN r.size + o.n > 1000 OR r.big THEN o.n ELSE r.size + o.n END, CASE WHEN o.n > 1000 OR r.big OR r.size + o.n > 1000 THEN r.g + 1 ELSE r.g END, o.n > 1000
+        FROM r JOIN o ON o.source = r.source AND o.i = r.i + 1),
+      b AS (SELECT r.source, r.g, 0 AS k, string_agg(o.t || chr(10), '' ORDER BY o.i) AS t FROM r JOIN o USING (source, i) WHERE NOT big GROUP BY ALL
+        UNION ALL SELECT source, g, k, h[k] FROM (SELECT r.source, r.g, {_halves('t', 1000)} AS h, unnest(generate_series(1, len(h))) AS k FROM r JOIN o USING (source, i) WHERE big))
+      SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY g, k) - 1 AS INTEGER) AS bin, CAST({_words('t')} AS BIGINT) AS n_tokens, md5(t) AS text_md5 FROM b WHERE regexp_matches(t, '{_NWS}')""",
+    "call_estimate": """WITH RECURSIVE c AS (SELECT lang, count(*) AS chunks FROM documents GROUP BY 1),
+      p AS (SELECT lang, chunks, CAST(greatest(2, floor((CASE WHEN contains(CASE lower(trim(lang, ' ')) """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LANGUAGES.items()) + """ ELSE 'traditional chinese' END, 'chinese') THEN 2 ELSE 1 END * 3000 - 500) / 1000)) AS BIGINT) AS per_call FROM c),
+      r AS (SELECT lang, per_call, CAST(chunks AS BIGINT) AS n, 0::BIGINT AS calls FROM p UNION ALL SELECT lang, per_call, CAST(ceil(n / per_call) AS BIGINT), calls + CAST(ceil(n / per_call) AS BIGINT) FROM r WHERE n > 1)
+      SELECT p.lang, chunks, p.per_call, max(calls) AS calls FROM p JOIN r ON p.lang IS NOT DISTINCT FROM r.lang GROUP BY ALL""",
+    "stream_ingest": """SELECT collection, item, item || ' ' || CAST(CAST(round(mtime * 1000) AS BIGINT) AS VARCHAR) AS text FROM (SELECT collection, item, max(mtime) AS mtime FROM ledger WHERE kind = 'file' AND item IS NOT NULL GROUP BY ALL)""",
+    "stream_fetches": "SELECT make_timestamptz(CAST(floor(epoch(fetched_at) / 2592000) AS BIGINT) * 2592000000000) AS start, count(DISTINCT item) AS urls FROM ledger WHERE kind = 'url' AND fetched_at IS NOT NULL GROUP BY 1",
     "project_chunks": "SELECT ord, ids, coalesce(docs, '') AS docs, CAST(coalesce(len(embeds), 0) AS INTEGER) AS dims FROM dbs",
     "first_chunks": "SELECT ord, source FROM dbs ORDER BY ord LIMIT 100",
     "filter_by_file": f"SELECT ord, source FROM dbs WHERE {_base('source')} IN ('manual_0011.pdf', 'report_0001.docx', 'manual_0003.docx')",
@@ -126,14 +195,14 @@ ORACLES = {
     "knn_store": f"""WITH v AS (SELECT ord, CAST(embeds AS DOUBLE[]) AS vector FROM dbs WHERE len(embeds) = 64 AND len(list_filter(embeds, lambda x: isfinite(x))) = 64 AND len(list_filter(embeds, lambda x: x <> 0)) > 0),
       s AS (SELECT q.ord AS query_id, v.ord, round(list_cosine_similarity(v.vector, q.vector), 6) AS score FROM v, v q WHERE q.ord % 50 = 0)
       SELECT query_id, ord, score, CAST({_RANK} AS INTEGER) AS rank FROM s QUALIFY {_RANK} <= 5""",
-    "mmr_topk": f"""WITH {_COS}, p AS (SELECT query_id, ord, score FROM s QUALIFY {_RANK} <= 50),
+    "mmr_topk": f"""WITH {_COS}, p AS (SELECT query_id, ord, score FROM s),
       one AS (SELECT query_id, ord, score FROM p QUALIFY {_RANK} = 1),
       near1 AS (SELECT p.query_id, p.ord, p.score AS rel, round(list_cosine_similarity(a.vector, b.vector), 6) AS near FROM p JOIN one USING (query_id) JOIN v a ON a.ord = p.ord JOIN v b ON b.ord = one.ord WHERE p.ord <> one.ord),
       two AS (SELECT query_id, ord, round(0.5 * rel - 0.5 * near, 6) AS score FROM near1 QUALIFY {_RANK} = 1),
       near2 AS (SELECT n.query_id, n.ord, n.rel, greatest(n.near, round(list_cosine_similarity(a.vector, b.vector), 6)) AS near FROM near1 n JOIN two USING (query_id) JOIN v a ON a.ord = n.ord JOIN v b ON b.ord = two.ord WHERE n.ord <> two.ord),
       three AS (SELECT query_id, ord, round(0.5 * rel - 0.5 * near, 6) AS score FROM near2 QUALIFY {_RANK} = 1)
       SELECT *, 1 AS rank FROM one UNION ALL SELECT *, 2 FROM two UNION ALL SELECT *, 3 FROM three""",
-    "custom_retriever": f"""WITH {_COS}, p AS (SELECT query_id, ord FROM s QUALIFY {_RANK} <= 50), f AS (SELECT query_id, p.ord, list_distance(v.vector, q.vector) AS far FROM p JOIN q USING (query_id) JOIN v ON v.ord = p.ord)
+    "custom_retriever": f"""WITH {_VEC}, f AS (SELECT query_id, v.ord, list_distance(v.vector, q.vector) AS far FROM v, q)
       SELECT query_id, ord, CAST(row_number() OVER w AS INTEGER) AS rank FROM f WINDOW w AS (PARTITION BY query_id ORDER BY far DESC, ord) QUALIFY rank <= 3""",
     "recall_at_k": f"""WITH {_COS}, n AS (SELECT query_id, ord FROM s QUALIFY {_RANK} <= 11)
       SELECT query_id, round(avg(CASE WHEN a.label = b.label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share FROM n JOIN embeddings a ON a.vec_id = n.ord JOIN embeddings b ON b.vec_id = n.query_id WHERE ord <> query_id GROUP BY 1""",

@@ -441,8 +441,7 @@ def pack_calls(spark, d):
 
 @query
 def halve_oversize(spark, d):
-    halve = F.udf(lambda t: C.halve(t, 40) if C.n_words(t) > 40 else [t], "array<string>")
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(halve("text")).alias("part", "piece")).select("doc_id", "part", F.char_length("piece").alias("n_chars"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(C.halves(F.col("text"), 40)).alias("part", "piece")).select("doc_id", "part", F.char_length("piece").alias("n_chars"))
 
 
 @query
@@ -632,7 +631,7 @@ def stream_ingest(spark, d):
 
     base = _folder(spark)
     versions = f"{base}/in"
-    table(spark, d, "ledger").where("kind = 'file' and item is not null").select("collection", "item", "mtime", F.concat_ws(" ", "item", "mtime").alias("text")).write.parquet(versions)
+    table(spark, d, "ledger").where("kind = 'file' and item is not null").select("collection", "item", "mtime", F.concat_ws(" ", "item", F.round(F.col("mtime") * 1000).cast("bigint")).alias("text")).write.parquet(versions)
     items = spark.readStream.schema("collection string, item string, mtime double, text string").option("maxFilesPerTrigger", 4).parquet(versions)
     stream_files(items, f"{base}/store", f"{base}/ledger", f"{base}/checkpoint").awaitTermination()
     return current_store(spark, f"{base}/store").select("collection", "item", "text")

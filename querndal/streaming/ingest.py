@@ -10,7 +10,7 @@ from ..sources import ledger as L
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, store: str, ledger: str) -> None:
-    """Apply one micro-batch of ``(collection, item, mtime, text)``: of each item its newest version, unless the ledger has that time already.
+    """Apply one micro-batch of ``(collection, item, mtime, text)``: of each item its newest version, unless the ledger has that time or a later one already.
 
     Store and ledger are written as versions by batch: running a batch again after a failure overwrites its own folder, so each row counts once.
     """
@@ -18,17 +18,19 @@ def ingest_batch(batch: DataFrame, batch_id: int, store: str, ledger: str) -> No
     newest = latest(batch.where("item is not null"), ["collection", "item"], [F.struct(F.col("mtime").isNotNull(), F.col("mtime")), F.col("text")])
     known = _read(spark, ledger, batch_id, "collection string, item string, mtime double, batch bigint")
     built = latest(known, ["collection", "item"], [F.col("batch")])
-    todo = L.file_status(newest, built.select("collection", "item", "mtime")).where(F.col("status") != L.ALREADY_BUILT).persist()
+    times = built.select("collection", "item", F.col("mtime").alias("built"))
+    late = F.coalesce(F.col("mtime") < F.col("built"), F.col("mtime").isNull() & F.col("built").isNotNull())
+    todo = L.file_status(newest, built.select("collection", "item", "mtime")).where(F.col("status") != L.ALREADY_BUILT).join(times, ["collection", "item"], "left").where(~late).persist()
     todo.select("collection", "item", "text").write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
     todo.select("collection", "item", "mtime").write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
     todo.unpersist()
 
 
 def _read(spark: SparkSession, path: str, before: int, schema: str) -> DataFrame:
-    try:
-        return spark.read.option("basePath", path).parquet(path).where(F.col("batch") < before).select(*[x.split()[0] for x in schema.split(", ")])
-    except Exception:  # nothing written yet
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):  # nothing written yet; any other failure is one
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(path).where(F.col("batch") < before)
 
 
 def stream_files(items: DataFrame, store: str, ledger: str, checkpoint: str):
