@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A word: letters, marks, digits, underscore. The same pattern in Java, RE2 and Python's ``regex``.
 WORD = r"[\p{L}\p{M}\p{N}_]+"
+#: A character of Chinese or Japanese, or a word of the rest.
+HAN_OR_WORD = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]|[^\P{L}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}](?:[^\P{L}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]|[\p{M}\p{N}_])*|[\p{M}\p{N}_]+"
 #: Unicode White_Space as a character class body.
 SPACES = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: Language codes and their English names; unknown codes count as ``ch``.
@@ -20,6 +22,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def han_tokens(text: Column) -> Column:
+    """Lower-cased tokens of texts in which Chinese or Japanese occurs: each of their characters, and words of the rest; null for null."""
+    return F.regexp_extract_all(F.lower(text), F.lit(HAN_OR_WORD), F.lit(0))
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of non-white-space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACES}]+")), F.lit(0))
@@ -87,8 +94,12 @@ def thinking_budget(level: Column, max_output_tokens: Column) -> Column:
     return out
 
 
+#: Fixed value: what marks a cut trace.
+TRUNCATED = "\n... [verbose output truncated]"
+
+
 def truncate_trace(text: Column, most: int = 4000) -> Column:
-    return F.when(F.char_length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("... [truncated]"))).otherwise(text)
+    return F.when(F.char_length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit(TRUNCATED))).otherwise(text)
 
 
 def blocks_to_text(blocks: Column, kinds: tuple[str, ...] = ("text",)) -> Column:
@@ -99,3 +110,16 @@ def blocks_to_text(blocks: Column, kinds: tuple[str, ...] = ("text",)) -> Column
 def map_characters(text: Column, source: str, target: str) -> Column:
     """Character-wise conversion, as between simplified and traditional script, by an injected table."""
     return F.translate(text, source, target)
+
+
+def json_safe(value: Column) -> Column:
+    """Any value as JSON text, nulls kept; a string stays as it is."""
+    return F.to_json(value, {"ignoreNullFields": "false"})
+
+
+def tool_result(blocks: Column) -> Column:
+    """Result of a tool call, content blocks (array of struct(type, text)), as text: that of a single text block (JSON in its compact form), else all blocks as JSON."""
+    one = F.try_element_at(blocks, F.lit(1))
+    single = (F.size(blocks) == 1) & (one["type"] == "text") & one["text"].isNotNull()
+    parsed = F.to_json(F.try_parse_json(one["text"]))
+    return F.when(single, F.coalesce(parsed, one["text"])).otherwise(F.to_json(blocks, {"ignoreNullFields": "false"}))

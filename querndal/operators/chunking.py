@@ -120,11 +120,11 @@ def halves(text: Column, most: int, count: Callable[[str], int] = n_words) -> Co
     return run(text)
 
 
-def pack_documents(docs: DataFrame, by: str, order: str, text: str, budget: int, piece_limit: int | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, by: str, order: str, text: str, budget: int, piece_limit: int | None = None, count: Callable[[str], int] = n_words) -> DataFrame:
     """Greedy bins of consecutive texts: ``(by, bin, text, n_tokens)``.
 
     A text is added to the bin while it fits; one over the budget is cut by ``halve`` (pieces up to ``piece_limit`` tokens) and closes the bin.
-    Blank bins are left out. A token is a word.
+    Blank bins are left out. ``count`` counts tokens.
     """
     kind = docs.schema[by].dataType.simpleString()
     limit = piece_limit or budget
@@ -135,16 +135,16 @@ def pack_documents(docs: DataFrame, by: str, order: str, text: str, budget: int,
         if not t.strip():
             return []
         s["bin"] += 1
-        return [(s["bin"] - 1, t, n_words(t))]
+        return [(s["bin"] - 1, t, count(t))]
 
     def step(s: dict, row: tuple) -> list:
         t = row[1] or ""
-        n = n_words(t)
+        n = count(t)
         out = []
         if s["size"] + n > budget:
             out += close(s)
             if n > budget:
-                for piece in halve(t, limit):
+                for piece in halve(t, limit, count):
                     s["parts"] = [piece]
                     out += close(s)
                 return out
@@ -155,7 +155,7 @@ def pack_documents(docs: DataFrame, by: str, order: str, text: str, budget: int,
     return _fold(docs, by, order, [text], lambda: {"parts": [], "size": 0, "bin": 0}, step, close, f"`{by}` {kind}, bin int, text string, n_tokens bigint")
 
 
-def pack_calls(chunks: DataFrame, by: str, order: str, text: str, budget: int, carried: int = 0) -> DataFrame:
+def pack_calls(chunks: DataFrame, by: str, order: str, text: str, budget: int, carried: int = 0, count: Callable[[str], int] = n_words) -> DataFrame:
     """``(by, call, n_chunks, n_tokens)``: consecutive chunks while the total, with ``carried`` tokens, stays under the budget.
 
     A chunk that alone reaches the budget is a call of its own.
@@ -170,7 +170,7 @@ def pack_calls(chunks: DataFrame, by: str, order: str, text: str, budget: int, c
         return out
 
     def step(s: dict, row: tuple) -> list:
-        n = n_words(row[1])
+        n = count(row[1] or "")
         out = close(s) if s["n"] and carried + s["size"] + n >= budget else []
         s["n"] += 1
         s["size"] += n
@@ -179,11 +179,11 @@ def pack_calls(chunks: DataFrame, by: str, order: str, text: str, budget: int, c
     return _fold(chunks, by, order, [text], lambda: {"call": 0, "n": 0, "size": 0}, step, close, f"`{by}` {kind}, call int, n_chunks int, n_tokens bigint")
 
 
-def split_reference(refs: DataFrame, text: str, budget: int) -> DataFrame:
-    """A text with at least ``budget`` words becomes two halves by characters (``half`` 0 and 1), others stay whole (``half`` 0)."""
+def split_reference(refs: DataFrame, text: str, budget: int, size: Callable[[Column], Column] = word_count) -> DataFrame:
+    """A text with at least ``budget`` tokens becomes two halves by characters (``half`` 0 and 1), others stay whole (``half`` 0)."""
     n = F.char_length(text)
     middle = F.floor(n / 2).cast("int")
-    halves = F.when(word_count(F.col(text)) >= budget, F.array(F.substring(F.col(text), F.lit(1), middle), F.substring(F.col(text), middle + 1, n))).otherwise(F.array(F.col(text)))
+    halves = F.when(size(F.col(text)) >= budget, F.array(F.substring(F.col(text), F.lit(1), middle), F.substring(F.col(text), middle + 1, n))).otherwise(F.array(F.col(text)))
     return refs.select(*[c for c in refs.columns if c != text], F.posexplode(halves).alias("half", text))
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import time
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _models: dict[str, Callable[[str], str]] = {}
@@ -107,3 +109,44 @@ def embed(text: Column, name: str | Callable, tries: int = 2) -> Column:
             yield out
 
     return run(text)
+
+
+def translate(text: Column, language: str, name: str | Callable) -> Column:
+    """A model's translation of each text; null for null."""
+    from . import prompts
+
+    return F.when(text.isNotNull(), answer(prompts.translation(text, language), name))
+
+
+def to_json_object(text: Column, keys: list[str], name: str | Callable) -> Column:
+    """The first JSON object in a model's answer, as text; null where there is none."""
+    from ..functions.json_text import extract_object
+    from . import prompts
+
+    return extract_object(answer(prompts.json_form(text, keys), name))
+
+
+class Tool(NamedTuple):
+    """A function as a tool: for agents by name, description and arguments, for SQL as a function of that name."""
+
+    name: str
+    description: str
+    call: Callable
+
+    def explained(self) -> str:
+        """Description with the names and types of the arguments."""
+        args = ", ".join(f"{p.name}:{getattr(p.annotation, '__name__', p.annotation) if p.annotation is not p.empty else 'value'}" for p in inspect.signature(self.call).parameters.values())
+        return f"{self.description}, args: {{{args}}}"
+
+    def register(self, spark: SparkSession, returns: str = "string") -> None:
+        """Make it a SQL function, called for whole Arrow batches."""
+        call = self.call
+        spark.udf.register(self.name, F.pandas_udf(lambda *columns: pd.Series([call(*row) for row in zip(*columns, strict=True)]), returns, F.PandasUDFType.SCALAR))
+
+
+def tool(call: Callable, description: str, name: str | None = None) -> Tool:
+    return Tool(name or call.__name__, description, call)
+
+
+def explain_tools(tools: list[Tool]) -> dict[str, str]:
+    return {t.name: t.explained() for t in tools}

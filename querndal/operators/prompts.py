@@ -68,3 +68,35 @@ def run_parameters(columns: list[str]) -> Column:
 def metadata_line(lines: Column) -> Column:
     """Joined metadata lines; ``none`` where there are none."""
     return F.coalesce(F.nullif(F.array_join(lines, "; "), F.lit("")), F.lit("none"))
+
+
+# Prompts of the composite operators, one for each task.
+
+
+def _task(instruction: str, *parts: tuple[str, Column]) -> Column:
+    return F.concat(F.lit(instruction), *[x for name, text in parts for x in (F.lit(f"\n\n{name}: "), F.coalesce(text, F.lit("")))])
+
+
+def grader(found: Column, question: Column) -> Column:
+    return _task("Is this answer relevant to the question? Say yes or no.", ("Answer", found), ("Question", question))
+
+
+def wrong_answers(question: Column, right: Column, n: int = 3) -> Column:
+    return _task(f"Write {n} answers to the question that sound right and are wrong, one a line.", ("Question", question), ("Right answer", right))
+
+
+def category(text: Column) -> Column:
+    return _task("Name the subject of this text in one or two words.", ("Text", text))
+
+
+def compression(text: Column) -> Column:
+    return _task("Shorten this text and keep every fact.", ("Text", text))
+
+
+def translation(text: Column, language: str) -> Column:
+    return _task(f"Translate the text into {language}. Give the translation only.", ("Text", text))
+
+
+def json_form(text: Column, keys: list[str]) -> Column:
+    wanted = f" with the keys {', '.join(keys)}" if keys else ""
+    return _task(f"Write the content of the text as one JSON object{wanted}.", ("Text", text))

@@ -5,23 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_category, is_blank
-from . import fuse
+from ..functions.text import clean_category, is_blank, word_count
+from ..runtime import cut
+from . import fuse, prompts
 from . import retrieve as R
 from .aggregates import first_by_text, reference_texts
-from .chunking import pack_documents, split_reference
+from .chunking import n_words, pack_documents, split_reference
 from .models import answer, embed
-from .windows import prefix_within
+from .windows import short_prefix
 
 
-def search(chunks: DataFrame, queries: DataFrame, search_type: str = "auto", k: int = 20, budget: int = 3000, bm25_least: float = 70.0, knn_least: float = 0.9, scorer: Callable[[pd.Series, pd.Series], pd.Series] = R.overlap_scorer) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, search_type: str = "auto", k: int = 20, budget: int = 3000, bm25_least: float = 70.0, knn_least: float = 0.9, scorer: Callable[[pd.Series, pd.Series], pd.Series] = R.overlap_scorer, size: Callable[[Column], Column] = word_count) -> DataFrame:
     """The context of each query: ``(query_id, ord, text, place, total_words)``.
 
     ``chunks``: (ord, text, vector), ``queries``: (query_id, text, vector). Retrieves with the search type's retrievers and fuses them by text under the
-    word budget. MMR, custom functions and rerankers look at all chunks; ``auto_rerank`` at all within ``knn_least``.
+    budget of tokens, which ``size`` counts. MMR, custom functions and rerankers look at all chunks; ``auto_rerank`` at all within ``knn_least``.
     """
     texts = chunks.select("ord", "text")
     names = R.retrievers(search_type)
@@ -45,17 +46,17 @@ def search(chunks: DataFrame, queries: DataFrame, search_type: str = "auto", k:
             lists[name] = R.rerank(texts.crossJoin(asked_text), scorer).where(F.col("rank") <= k)
     full = {n: df.join(texts, "ord") for n, df in lists.items()}
     if search_type == "auto":
-        out = fuse.auto(full["knn"], full["bm25"], budget, bm25_least)
+        out = fuse.auto(full["knn"], full["bm25"], budget, bm25_least, size=size)
     elif search_type == "auto_rerank":
         again = R.rerank(full["knn"].select("query_id", "ord", "text").join(asked_text, "query_id"), scorer).join(texts, "ord")
         n = chunks.where(F.exists("vector", lambda x: x != 0)).count()
-        out = fuse.auto_rerank(full["knn"], full["bm25"], again, budget, max(10, n // 10), knn_least, bm25_least)
+        out = fuse.auto_rerank(full["knn"], full["bm25"], again, budget, max(10, n // 10), knn_least, bm25_least, size=size)
     else:
         ranked = None
         for i, name in enumerate(names):
             part = full[name].select("query_id", F.lit(i).alias("retriever_idx"), "rank", "ord", "text")
             ranked = part if ranked is None else ranked.unionAll(part)
-        out = fuse.round_robin(ranked, budget)
+        out = fuse.round_robin(ranked, budget, size)
     return out.select("query_id", "ord", "text", "place", "total_words")
 
 
@@ -74,9 +75,10 @@ def rag(chunks: DataFrame, queries: DataFrame, model: str | Callable = "stub:fir
 
 def self_ask(chunks: DataFrame, queries: DataFrame, followups: Callable[[str], list[str]], model: str | Callable = "stub:first_sentence", embedder: str | Callable = "stub:hash", **options) -> DataFrame:
     """Each query's follow-up questions answered in one plan over all of them, then the query from those answers: ``(query_id, answer, n_followups)``."""
-    ask = F.udf(followups, "array<string>")
+    ask = F.pandas_udf(lambda s: s.map(lambda q: list(followups(q))), "array<string>")
     asked = queries.select("query_id", F.posexplode(ask("text")).alias("no", "text"))
-    keyed = asked.select(F.xxhash64("query_id", "no").alias("query_id"), F.col("query_id").alias("parent"), "no", "text").withColumn("vector", embed(F.col("text"), embedder)).persist()
+    keyed = asked.select(F.xxhash64("query_id", "no").alias("query_id"), F.col("query_id").alias("parent"), "no", "text").withColumn("vector", embed(F.col("text"), embedder))
+    keyed = cut(keyed)  # embedded once for both uses
     got = rag(chunks, keyed.select("query_id", "text", "vector"), model, **options).join(keyed.select("query_id", "parent", "no", F.col("text").alias("question")), "query_id")
     pairs = F.sort_array(F.collect_list(F.struct("no", F.concat(F.col("question"), F.lit("\n"), F.col("answer")).alias("qa"))))
     notes = got.groupBy(F.col("parent").alias("query_id")).agg(F.array_join(F.transform(pairs, lambda x: x["qa"]), "\n").alias("notes"), F.count(F.lit(1)).alias("n_followups"))
@@ -84,20 +86,42 @@ def self_ask(chunks: DataFrame, queries: DataFrame, followups: Callable[[str], l
     return queries.select("query_id", "text").join(notes, "query_id", "left").select("query_id", answer(prompt, model).alias("answer"), F.coalesce("n_followups", F.lit(0)).alias("n_followups"))
 
 
-def ask(docs: DataFrame, by: str, order: str, text: str, prompt: str, model: str | Callable = "stub:first_sentence", budget: int = 3000, most: int = 10) -> DataFrame:
-    """Ask each group's documents: bins under the budget are asked in parallel; of several answers the prefix within the budget is concluded."""
-    bins = pack_documents(docs, by, order, text, budget)
+def ask(
+    docs: DataFrame,
+    by: str,
+    order: str,
+    text: str,
+    prompt: str,
+    model: str | Callable = "stub:first_sentence",
+    budget: int = 3000,
+    most: int = 10,
+    judge: str | Callable | None = None,
+    size: Callable[[Column], Column] = word_count,
+    count: Callable[[str], int] = n_words,
+) -> DataFrame:
+    """Ask each group's documents: bins under the budget are asked in parallel; of several answers the prefix within the budget is concluded.
+
+    Of more than ``most`` answers only the relevant ones stay: those that the ``judge`` grades with a yes, without a judge those that say anything. ``size`` and
+    ``count`` count tokens of answers and of documents.
+    """
+    bins = pack_documents(docs, by, order, text, budget, count=count)
     answers = bins.select(by, "bin", answer(F.concat(F.lit(prompt + "\n\n"), F.col("text")), model).alias("answer"))
     counts = answers.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    relevant = F.pandas_udf(lambda s: s.str.strip().ne(""), "boolean")
-    kept = answers.join(counts, by).where((F.col("n") <= most) | relevant("answer"))
-    from ..functions.text import word_count
-
-    fit = prefix_within(kept, by, ["bin"], word_count(F.col("answer")), budget)
+    joined = answers.join(counts, by)
+    kept = joined.where(F.col("n") <= most).unionByName(relevant_answers(joined.where(F.col("n") > most), "answer", F.lit(prompt), judge))
+    fit = short_prefix(kept, by, ["bin"], size(F.col("answer")), budget)
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bin", "answer"))), lambda x: x["answer"]), "\n")
     return fit.groupBy(by).agg(joined.alias("notes"), F.max("n").alias("n_bins")).select(by, F.when(F.col("n_bins") == 1, F.col("notes")).otherwise(answer(F.concat(F.lit("Conclude.\n\n"), F.col("notes")), model)).alias("answer"), "n_bins")
 
 
+def relevant_answers(answers: DataFrame, answer_col: str, question: Column, judge: str | Callable | None = None) -> DataFrame:
+    """Rows whose answer a judge grades with a yes as relevant to the question; without a judge, rows whose answer is not blank."""
+    if judge is None:
+        return answers.where(~is_blank(F.col(answer_col)))
+    grade = answer(prompts.grader(F.col(answer_col), question), judge)
+    return answers.withColumn("_grade", grade).where(F.lower("_grade").contains("yes")).drop("_grade")
+
+
 def references(chunks: DataFrame, response: str, judge: str | Callable, budget: int = 3000) -> DataFrame:
     """Parts of each reference that the judge calls relevant to a response: ``(ref, parts)``."""
     pieces = split_reference(reference_texts(chunks), "text", budget)

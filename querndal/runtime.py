@@ -14,16 +14,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def path_kind(spark: SparkSession, path: str) -> str | None:
+    """``dir``, ``file`` or None for a path of any file system that Spark knows."""
+    fs, place = _place(spark, path)
+    if not fs.exists(place):
+        return None
+    return "dir" if fs.getFileStatus(place).isDirectory() else "file"
+
+
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder with all it holds; False if there is none."""
+    fs, place = _place(spark, path)
+    return bool(fs.exists(place) and fs.delete(place, True))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder all executors share.
 
-    ``spark.checkpoint.dir`` is what the cluster names. Only where it is unset, as in tests,
-    a folder of this machine is set on the session.
+    ``spark.checkpoint.dir`` is what the cluster names. Only where it is unset on a local master, as in tests,
+    a folder of this machine is set on the session; a cluster without it raises ValueError.
     """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="querndal-")
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="querndal-")
     spark.sparkContext.setCheckpointDir(named)
     return named
 

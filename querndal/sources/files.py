@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import path_kind
+
 #: File types in the order of their loading.
 EXTENSIONS = ("pdf", "md", "docx", "txt", "csv", "pptx")
 SCHEMA = "source string, page int, text string"
@@ -24,20 +27,23 @@ def list_files(spark: SparkSession, path: str, extension: str) -> DataFrame:
     return found.select(F.col("path").alias("source"), "length", F.col("modificationTime").alias("modified"))
 
 
-def read_text(spark: SparkSession, path: str, extension: str) -> DataFrame:
-    """Whole UTF-8 files (txt, md), page 0."""
-    raw = spark.read.option("pathGlobFilter", f"*.{extension}").text(path, wholetext=True)
-    return raw.select(F.col("_metadata.file_path").alias("source"), F.lit(0).alias("page"), F.col("value").alias("text"))
+def text_pages(data: bytes) -> list[str]:
+    return [decode_bytes(data)]
+
+
+def csv_pages(data: bytes) -> list[str]:
+    """One text for each row of a CSV file: ``column: value`` lines by the file's own header; missing values are empty, values beyond the header are left out."""
+    return ["\n".join(f"{k}: {v or ''}" for k, v in row.items() if k is not None) for row in csv.DictReader(io.StringIO(decode_bytes(data), newline=""))]
+
 
+def read_text(spark: SparkSession, path: str | list[str], extension: str | None = None) -> DataFrame:
+    """Whole text files (txt, md) in the encoding they are found to have, page 0."""
+    return read_binary(spark, path, extension, text_pages).select("source", "page", "text")
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """One row for each CSV row: ``column: value`` lines as text, its place in the file as page."""
-    rows = spark.read.option("pathGlobFilter", "*.csv").option("header", True).option("encoding", encoding).option("multiLine", True).option("mode", "PERMISSIVE").csv(path)
-    line = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in rows.columns])
-    placed = rows.select(F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("at"), line.alias("text"))
-    from pyspark.sql import Window
 
-    return placed.select("source", (F.row_number().over(Window.partitionBy("source").orderBy("at")) - 1).cast("int").alias("page"), "text")
+def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row for each CSV row: ``column: value`` lines as text, its place in the file as page. Each file is read by its own header."""
+    return read_binary(spark, path, "csv", csv_pages).select("source", "page", "text")
 
 
 def _xml_texts(data: bytes, names: str, paragraph: str, run: str) -> list[str]:
@@ -61,72 +67,137 @@ def pdf_pages(data: bytes) -> list[str]:
     return [p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages]
 
 
-def read_binary(spark: SparkSession, path: str, extension: str, pages: Callable[[bytes], list[str]]) -> DataFrame:
-    """``(source, page, text, error)`` of binary documents; a file that can't be read gives one row with its error."""
+PAGES = {"pdf": pdf_pages, "md": text_pages, "docx": docx_pages, "txt": text_pages, "csv": csv_pages, "pptx": pptx_pages}
+_PARSED = f"{SCHEMA}, modified timestamp, error string"
+
+
+def raw_files(spark: SparkSession, path: str | list[str], extension: str | None = None) -> DataFrame:
+    """``(path, modificationTime, content)`` of the files in a folder or of the given ones; content is read only where it is selected."""
+    reader = spark.read.format("binaryFile")
+    if extension:
+        reader = reader.option("pathGlobFilter", f"*.{extension}")
+    return reader.load(path).select("path", "modificationTime", "content")
+
+
+def parse_files(raw: DataFrame, pages: Callable[[bytes], list[str]]) -> DataFrame:
+    """``(source, page, text, modified, error)`` of ``raw_files``; a file that can't be read gives one row with its error."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for source, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, of = [], []
+            for n, (source, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 try:
-                    rows += [(source, i, t, None) for i, t in enumerate(pages(data))]
+                    found = [(source, i, t, None) for i, t in enumerate(pages(data))]
                 except Exception as e:  # whatever a broken file raises
-                    rows.append((source, None, None, f"{type(e).__name__}: {e}"[:200]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))], ["source", "page", "text", "error"])
+                    found = [(source, None, None, f"{type(e).__name__}: {e}"[:200])]
+                rows += found
+                of += [n] * len(found)
+            source, page, text, error = (pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string())))
+            yield pa.RecordBatch.from_arrays([source, page, text, batch.column(1).take(pa.array(of, pa.int64())), error], ["source", "page", "text", "modified", "error"])
 
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}").load(path).select("path", "content")
-    return raw.mapInArrow(parse, f"{SCHEMA}, error string")
+    return raw.mapInArrow(parse, _PARSED)
+
+
+def read_binary(spark: SparkSession, path: str | list[str], extension: str | None, pages: Callable[[bytes], list[str]]) -> DataFrame:
+    """``(source, page, text, error)`` of documents; a file that can't be read gives one row with its error."""
+    return parse_files(raw_files(spark, path, extension), pages).select("source", "page", "text", "error")
+
+
+def _sorted_out(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    good = F.col("error").isNull() & F.coalesce(F.trim("text") != "", F.lit(False))
+    return every.where(good).drop("error"), every.where(~good).select("source", F.coalesce("error", F.lit("no text")).alias("error"))
 
 
 def read_directory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(documents, ignored)``: documents of all known file types in their order (``ext_rank``), and sources that couldn't be read or are blank."""
-    parts = []
-    for rank, ext in enumerate(EXTENSIONS):
-        if ext in ("md", "txt"):
-            df = read_text(spark, path, ext).withColumn("error", F.lit(None).cast("string"))
-        elif ext == "csv":
-            if not list_files(spark, path, "csv").limit(1).count():
-                continue
-            df = read_csv(spark, path).withColumn("error", F.lit(None).cast("string"))
-        else:
-            df = read_binary(spark, path, ext, {"pdf": pdf_pages, "docx": docx_pages, "pptx": pptx_pages}[ext])
-        parts.append(df.withColumn("ext_rank", F.lit(rank)))
-    every = reduce(DataFrame.unionByName, parts)
-    good = F.col("error").isNull() & F.coalesce(F.trim("text") != "", F.lit(False))
-    return every.where(good).select("ext_rank", "source", "page", "text"), every.where(~good).select("source", F.coalesce("error", F.lit("no text")).alias("error"))
+    every = reduce(DataFrame.unionByName, [read_binary(spark, path, ext, PAGES[ext]).withColumn("ext_rank", F.lit(rank)) for rank, ext in enumerate(EXTENSIONS)])
+    good, ignored = _sorted_out(every)
+    return good.select("ext_rank", "source", "page", "text"), ignored
+
 
+def extension_of(path: str) -> str:
+    return path.rpartition(".")[2].lower()
 
-def decode_bytes(data, encodings: tuple[str, ...] = ("utf-8", "big5", "cp1252")) -> str:
-    """Text of bytes in the first encoding that reads them."""
-    for e in encodings:
+
+def read_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``(documents, ignored)`` of the given files, each read by its type; other types are read as text."""
+    parts = [read_binary(spark, [p for p in paths if extension_of(p) == ext], None, PAGES.get(ext, text_pages)) for ext in sorted({extension_of(p) for p in paths})]
+    return _sorted_out(reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{SCHEMA}, error string"))
+
+
+def read_urls(urls: DataFrame, fetch: Callable[[str], str | None]) -> DataFrame:
+    """``(url, title, text)`` of a table ``(url)``: pages are fetched by the tasks; title and text are empty where that fails."""
+    from .html import page_text
+
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = []
+            for url in batch.column(0).to_pylist():
+                try:
+                    pages.append(page_text(fetch(url)))
+                except Exception:  # whatever a request raises
+                    pages.append(("", ""))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([p[i] for p in pages], pa.string()) for i in (0, 1))], ["url", "title", "text"])
+
+    return urls.select("url").mapInArrow(get, "url string, title string, text string")
+
+
+#: Byte order marks with their encodings.
+MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+
+
+def detect_encoding(data: bytes) -> str:
+    """Encoding of a text: its byte order mark, UTF-8 if it is valid, else the double-byte encoding whose characters look used, else cp1252.
+
+    A text looks like Big5 or GB 18030 if it decodes and most of its double bytes are common characters, which both place in
+    their first level; letters with accents lie beyond those lead bytes.
+    """
+    data = bytes(data)
+    for mark, name in MARKS:
+        if data.startswith(mark):
+            return name
+    shares = {}
+    for name, low, high in (("utf-8", 0, 0), ("big5", 0xA4, 0xC6), ("gb18030", 0xB0, 0xD7), ("shift_jis", 0x81, 0x97)):
         try:
-            return bytes(data).decode(e)
+            text = data.decode(name)
         except UnicodeDecodeError:
             continue
-    return bytes(data).decode("utf-8", "replace")
+        if name == "utf-8":
+            return name
+        wide = [c.encode(name) for c in text if ord(c) > 127]
+        han = sum(0x3040 <= ord(c) < 0xA000 for c in text if ord(c) > 127)
+        shares[name] = min(sum(low <= w[0] <= high for w in wide if len(w) > 1), han) / max(1, len(wide)) + (0.2 if any(0x3040 <= ord(c) < 0x3100 for c in text) else 0)
+    best = max(shares, key=shares.get, default="")
+    return best if shares.get(best, 0) >= 0.6 else "cp1252"
 
 
-def read_info(spark: SparkSession, info, fetch: Callable[[str], str] | None = None) -> DataFrame:
-    """Documents of a text, path, url or list of them: empty strings are skipped, urls go through ``fetch`` (HTML), strings of 255
-    characters or more and unknown paths are text themselves."""
-    from pathlib import Path
+def decode_bytes(data: bytes) -> str:
+    """Text of bytes in their encoding; what it can't read becomes a replacement character."""
+    return bytes(data).decode(detect_encoding(data), "replace")
 
-    from .html import page_text
 
+def read_info(spark: SparkSession, info, fetch: Callable[[str], str] | None = None) -> DataFrame:
+    """Documents of a text, path, url or list of them: empty strings are skipped, urls go through ``fetch`` (HTML), files are read by their type,
+    strings of 255 characters or more and unknown paths are text themselves. Paths are those of Spark's file systems."""
     rows: list[tuple] = []
-    frames = []
+    urls, files, frames = [], [], []
     for x in info if isinstance(info, (list, tuple)) else [info]:
         s = str(x)
         if not s:
             continue
+        kind = path_kind(spark, s) if len(s) < 255 and not re.search(r"[\n:?*\[{]", s.partition("://")[2] or s) else None
         if re.match("^https?://", s):
-            title, text = page_text(fetch(s)) if fetch else ("", "")
-            rows.append((s, 0, text))
-        elif len(s) < 255 and Path(s).is_dir():
+            urls.append((s,))
+        elif kind == "dir":
             frames.append(read_directory(spark, s)[0].select("source", "page", "text"))
-        elif len(s) < 255 and Path(s).is_file():
-            rows.append((s, 0, decode_bytes(Path(s).read_bytes())))
+        elif kind == "file":
+            files.append(s)
         else:
             rows.append((None, 0, s))
+    if files:
+        frames.append(read_files(spark, files)[0])
+    if urls:
+        pages = read_urls(spark.createDataFrame(urls, "url string"), fetch or (lambda url: None))
+        frames.append(pages.select(F.col("url").alias("source"), F.lit(0).alias("page"), "text"))
     frames.append(spark.createDataFrame(rows, SCHEMA))
     return reduce(DataFrame.unionByName, frames)

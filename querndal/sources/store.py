@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basename
 from ..operators.models import embed
+from ..runtime import cut, path_kind, remove_path
 
 
 def read_store(spark: SparkSession, path: str, collections: list[str] | None = None) -> DataFrame:
@@ -22,27 +24,46 @@ def append(chunks: DataFrame, path: str) -> None:
 
 
 def rewrite(spark: SparkSession, path: str, collection: str, keep) -> int:
-    """Keep only the rows of a collection for which ``keep`` holds; returns how many went. Rewrites that one partition by way of a side path."""
-    df = read_store(spark, path, [collection])
-    before = df.count()
-    kept = df.where(keep)
-    side = f"{path.rstrip('/')}__next"
-    kept.write.mode("overwrite").partitionBy("collection").parquet(side)
-    again = spark.read.parquet(side) if kept.limit(1).count() else None
-    if again is None:
+    """Keep only the rows of a collection for which ``keep`` holds; returns how many went. Rewrites that one partition by way of a side path of its own."""
+    kept = read_store(spark, path, [collection]).select("*", F.coalesce(keep, F.lit(False)).alias("_keep"))
+    before, stay = kept.agg(F.count(F.lit(1)), F.count_if("_keep")).first()
+    if not stay:
         drop_collection(spark, path, collection)
-        return before
-    after = again.count()
-    again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
-    return before - after
+    elif stay < before:
+        _exchange(spark, path, kept.where("_keep").drop("_keep"))
+    return before - stay
+
+
+def _exchange(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Replace the partitions of all collections in ``rows``, which may read them."""
+    side = f"{path.rstrip('/')}__{uuid.uuid4().hex}"
+    rows.write.partitionBy("collection").parquet(side)
+    try:
+        spark.read.schema(rows.schema).parquet(side).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
+    finally:
+        remove_path(spark, side)
+
+
+def replace_items(spark: SparkSession, path: str, gone: DataFrame, chunks: DataFrame) -> None:
+    """Put ``chunks`` into the store in place of the rows of all items ``gone(collection, source)``. Only collections that lose rows are rewritten."""
+    if path_kind(spark, path):
+        old = spark.read.schema(chunks.schema).parquet(path)
+        hit = old.join(gone, ["collection", "source"], "left_semi").select("collection").distinct()
+        if touched := [r[0] for r in hit.collect()]:
+            kept = old.where(F.col("collection").isin(touched)).join(gone, ["collection", "source"], "left_anti").select(*chunks.columns)
+            new = cut(kept.unionByName(chunks.where(F.col("collection").isin(touched))))
+            stay = {r[0] for r in new.select("collection").distinct().collect()}
+            _exchange(spark, path, new)
+            for c in set(touched) - stay:  # nothing takes the place of these
+                drop_collection(spark, path, c)
+            chunks = chunks.where(~F.col("collection").isin(touched))
+    append(chunks, path)
 
 
 def drop_collection(spark: SparkSession, path: str, collection: str) -> int:
     """Delete a collection's directory; 1 if there was one, else 0."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/collection={collection.replace('/', '%2F').replace(':', '%3A')}")
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.exists(place) and fs.delete(place, True))
+    escaped = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(collection)
+    return int(remove_path(spark, f"{path.rstrip('/')}/collection={escaped}"))
 
 
 def merge(a: DataFrame, b: DataFrame, key: str = "ids", order: str = "ord") -> DataFrame:
