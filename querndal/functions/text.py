@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: A word: letters, marks, digits, underscore. The same pattern in Java, RE2 and Python's ``regex``.
 WORD = r"[\p{L}\p{M}\p{N}_]+"
-#: A character of Chinese or Japanese, or a word of the rest.
-HAN_OR_WORD = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]|[^\P{L}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}](?:[^\P{L}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]|[\p{M}\p{N}_])*|[\p{M}\p{N}_]+"
+#: Characters that are words of their own in Chinese and Japanese.
+HAN = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]"
 #: Unicode White_Space as a character class body.
 SPACES = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: Language codes and their English names; unknown codes count as ``ch``.
@@ -24,7 +24,7 @@ def tokens(text: Column) -> Column:
 
 def han_tokens(text: Column) -> Column:
     """Lower-cased tokens of texts in which Chinese or Japanese occurs: each of their characters, and words of the rest; null for null."""
-    return F.regexp_extract_all(F.lower(text), F.lit(HAN_OR_WORD), F.lit(0))
+    return tokens(F.regexp_replace(text, f"({HAN})", " $1 "))
 
 
 def word_count(text: Column) -> Column:

@@ -42,6 +42,21 @@ def rouge_l_score(candidate: Column, reference: Column) -> Column:
     return F.pandas_udf(_rouge, "double")(candidate, reference)
 
 
+def bert_score(candidate: Column, reference: Column, scorer) -> Column:
+    """F1 of an injected ``scorer(candidates, references) -> scores`` over Arrow batches; 0 where it fails or a side is null."""
+
+    def run(c: pd.Series, r: pd.Series) -> pd.Series:
+        there = c.notna() & r.notna()
+        out = pd.Series(0.0, index=c.index)
+        try:
+            out[there] = np.asarray(scorer(list(c[there]), list(r[there])), np.float64) if there.any() else 0.0
+        except Exception:  # whatever the model raises counts as no similarity
+            pass
+        return out.fillna(0.0)
+
+    return F.round(F.pandas_udf(run, "double")(candidate, reference), 3)
+
+
 def toxicity(label: Column, p: Column) -> Column:
     """Chance of toxic text from a classifier's label and its chance."""
     return F.when(F.lower(label) == "toxic", p).otherwise(1 - p)
@@ -122,22 +137,28 @@ def create_compare_questions(items: DataFrame, category: str, noun: str, order:
     return groups.withColumn("qa", parse_question_answer(answer(prompt, generate))).where("qa is not null").select("category", "qa.*")
 
 
-def evaluate(questions: DataFrame, contexts: DataFrame, model, judge=None) -> DataFrame:
-    """Answer and score every question: ``(qid, response, rouge, llm_score, hit)``.
+def evaluate(questions: DataFrame, contexts: DataFrame, model, judge=None, bert=None) -> DataFrame:
+    """Answer and score every question: ``(qid, question_style, question_type, response, rouge, bert, llm_score, hit)``.
 
-    ``questions``: (qid, question_style, question, choices, answer), ``contexts``: (qid, context), which may lack questions. Essays get ROUGE-L and
-    the first number of the judge's answer; single choice questions a hit if the response holds the answer's number.
+    ``questions``: (qid, question_style, question, choices, answer), ``contexts``: (qid, context), which may lack questions. Essays get ROUGE-L, the ``bert``
+    scorer's F1 and the first number of the judge's answer; single choice questions a hit if the response holds the answer's number. Of the type
+    ``summary`` the question is the text itself: no context is looked up, the model is asked for its summary.
     """
     from ..functions.text import first_number
     from .aggregates import hit
     from .models import answer
 
     asked = questions.join(contexts.select("qid", "context"), "qid", "left")
-    prompt = F.concat(F.coalesce("context", F.lit("")), F.lit("\n\n"), format_question(F.col("question"), F.col("choices")))
+    found = F.concat(F.coalesce("context", F.lit("")), F.lit("\n\n"), format_question(F.col("question"), F.col("choices")))
+    summary = F.coalesce(F.col("question_type") == "summary", F.lit(False))
+    prompt = F.when(summary, F.concat(F.lit("Summarise this text.\n\n"), F.coalesce("question", F.lit("")))).otherwise(found)
     done = asked.withColumn("response", answer(prompt, model))
     essay = F.col("question_style") == "essay"
-    graded = first_number(answer(F.concat(F.lit("Grade from 0 to 1.\n\n"), F.coalesce("response", F.lit("")), F.lit("\n\n"), F.coalesce("answer", F.lit(""))), judge)) if judge else F.lit(None).cast("double")
-    return done.select("qid", "question_style", "question_type", "response", F.when(essay, rouge_l_score(F.col("response"), F.col("answer"))).alias("rouge"), F.when(essay, graded).alias("llm_score"), F.when(~essay, hit(F.col("response"), F.col("answer"))).alias("hit"))
+    none = F.lit(None).cast("double")
+    graded = first_number(answer(F.concat(F.lit("Grade from 0 to 1.\n\n"), F.coalesce("response", F.lit("")), F.lit("\n\n"), F.coalesce("answer", F.lit(""))), judge)) if judge else none
+    like = bert_score(F.col("response"), F.col("answer"), bert) if bert else none
+    scores = {"rouge": rouge_l_score(F.col("response"), F.col("answer")), "bert": like, "llm_score": graded}
+    return done.select("qid", "question_style", "question_type", "response", *[F.when(essay, v).alias(k) for k, v in scores.items()], F.when(~essay, hit(F.col("response"), F.col("answer"))).alias("hit"))
 
 
 def evaluation_summary(scored: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -129,9 +130,9 @@ def matched_fields(tree: Leaf | Node | None, metadata: Column, types: dict[str,
     return F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
 
 
-def by_metadata(chunks: DataFrame, expression: str, fields: list[dict], loose: bool = False, metadata: str = "metadatas") -> DataFrame:
-    """Rows that satisfy the expression, with their ``matched_fields``."""
-    tree, types = parse(expression), checked_schema(fields)
+def by_metadata(chunks: DataFrame, expression: str, fields: list[dict], loose: bool = False, metadata: str = "metadatas", parser: Callable[[str], Leaf | Node | None] = parse) -> DataFrame:
+    """Rows that satisfy the expression, with their ``matched_fields``. ``parser`` may read another language into the same trees."""
+    tree, types = parser(expression), checked_schema(fields)
     if loose:
         tree = loosen(tree)
     return chunks.where(predicate(tree, F.col(metadata), types)).withColumn("matched_fields", matched_fields(tree, F.col(metadata), types))

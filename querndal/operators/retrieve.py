@@ -431,6 +431,16 @@ def rerank(pool: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series],
     return top_by(scored, "query_id", 2**31 - 1)
 
 
+def rerank_reduce(pool: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series], k: int) -> DataFrame:
+    """The k rows of each query's pool that ``scorer`` ranks best."""
+    return rerank(pool, scorer).where(F.col("rank") <= k)
+
+
+def svm_above(chunks: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
+    """Of each query's k best rows by ``exemplar_svm`` those with a ``score_norm`` of at least ``least``."""
+    return exemplar_svm(chunks, queries, k).where(F.col("score_norm") >= least)
+
+
 def custom(chunks: DataFrame, queries: DataFrame, search: Callable[[np.ndarray, np.ndarray, int], list[int]], k: int) -> DataFrame:
     """``search(query vector, matrix, k) -> row numbers`` over all chunks ``(ord, vector)`` in order of ``ord``; its order is the rank.
 

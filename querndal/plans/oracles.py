@@ -102,6 +102,17 @@ def _halves(text: str, most: int) -> str:
     return f"list_transform(range(0, length({text}), {width}), lambda i: substring({text}, CAST(i + 1 AS BIGINT), {width}))"
 
 
+def _packed(table: str, by: str, budget: int) -> str:
+    """CTEs ``packed(by, bin, t)``: bins of consecutive texts of a group; the state of each row is its group number and the size so far."""
+    return f"""o AS (SELECT {by}, row_number() OVER (PARTITION BY {by} ORDER BY doc_id) AS i, coalesce(text, '') AS t, {_words('text')} AS n FROM {table}),
+      r AS (SELECT {by}, i, CASE WHEN n > {budget} THEN 0 ELSE n END AS size, 0 AS g, n > {budget} AS big FROM o WHERE i = 1
+        UNION ALL SELECT o.{by}, o.i, CASE WHEN o.n > {budget} THEN 0 WHEN r.size + o.n > {budget} OR r.big THEN o.n ELSE r.size + o.n END, CASE WHEN o.n > {budget} OR r.big OR r.size + o.n > {budget} THEN r.g + 1 ELSE r.g END, o.n > {budget}
+        FROM r JOIN o ON o.{by} IS NOT DISTINCT FROM r.{by} AND o.i = r.i + 1),
+      b AS (SELECT r.{by}, r.g, 0 AS k, string_agg(o.t || chr(10), '' ORDER BY o.i) AS t FROM r JOIN o ON o.{by} IS NOT DISTINCT FROM r.{by} AND o.i = r.i WHERE NOT big GROUP BY ALL
+        UNION ALL SELECT {by}, g, k, h[k] FROM (SELECT r.{by}, r.g, {_halves('t', budget)} AS h, unnest(generate_series(1, len(h))) AS k FROM r JOIN o ON o.{by} IS NOT DISTINCT FROM r.{by} AND o.i = r.i WHERE big)),
+      packed AS (SELECT {by}, row_number() OVER (PARTITION BY {by} ORDER BY g, k) - 1 AS bin, t FROM b WHERE regexp_matches(t, '{_NWS}'))"""
+
+
 _DRAWN = """w AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, count(*) OVER (PARTITION BY source) AS total, ('0x' || left(md5('0:' || source), 8))::BIGINT % {size} AS shift,
     list(coalesce(text, '')) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN CURRENT ROW AND {last} FOLLOWING) AS texts FROM d),
   drawn AS (SELECT source, doc_id AS start, texts FROM w WHERE n >= shift AND (n - shift) % {size} = 0 AND n + {size} <= total)"""
@@ -132,13 +143,66 @@ ORACLES = {
       r AS (SELECT source, i, n AS size, 0 AS call, n FROM o WHERE i = 1
         UNION ALL SELECT o.source, o.i, CASE WHEN 100 + r.size + o.n >= 1000 THEN o.n ELSE r.size + o.n END, CASE WHEN 100 + r.size + o.n >= 1000 THEN r.call + 1 ELSE r.call END, o.n FROM r JOIN o ON o.source = r.source AND o.i = r.i + 1)
       SELECT source, CAST(call AS INTEGER) AS call, CAST(count(*) AS INTEGER) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_tokens FROM r GROUP BY ALL""",
-    "pack_documents": f"""WITH RECURSIVE {_SOURCED}, o AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, coalesce(text, '') AS t, {_words('text')} AS n FROM d),
-      r AS (SELECT source, i, CASE WHEN n > 1000 THEN 0 ELSE n END AS size, 0 AS g, n > 1000 AS big FROM o WHERE i = 1
-        UNION ALL SELECT o.source, o.i, CASE WHEN o.n > 1000 THEN 0 WHEN r.size + o.n > 1000 OR r.big THEN o.n ELSE r.size + o.n END, CASE WHEN o.n > 1000 OR r.big OR r.size + o.n > 1000 THEN r.g + 1 ELSE r.g END, o.n > 1000
-        FROM r JOIN o ON o.source = r.source AND o.i = r.i + 1),
-      b AS (SELECT r.source, r.g, 0 AS k, string_agg(o.t || chr(10), '' ORDER BY o.i) AS t FROM r JOIN o USING (source, i) WHERE NOT big GROUP BY ALL
-        UNION ALL SELECT source, g, k, h[k] FROM (SELECT r.source, r.g, {_halves('t', 1000)} AS h, unnest(generate_series(1, len(h))) AS k FROM r JOIN o USING (source, i) WHERE big))
-      SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY g, k) - 1 AS INTEGER) AS bin, CAST({_words('t')} AS BIGINT) AS n_tokens, md5(t) AS text_md5 FROM b WHERE regexp_matches(t, '{_NWS}')""",
+    "pack_documents": f"""WITH RECURSIVE {_SOURCED}, {_packed('d', 'source', 1000)}
+      SELECT source, CAST(bin AS INTEGER) AS bin, CAST({_words('t')} AS BIGINT) AS n_tokens, md5(t) AS text_md5 FROM packed""",
+    "ask_stub": f"""WITH RECURSIVE {_packed('documents', 'category', 3000)},
+      a AS (SELECT category, bin, {_first_sentence("'What is this about?' || chr(10) || chr(10) || t")} AS answer, count(*) OVER (PARTITION BY category) AS n FROM packed WHERE category IS NOT NULL),
+      k AS (SELECT * FROM a WHERE n <= 10 OR regexp_matches(answer, '{_NWS}')), f AS (SELECT * FROM k QUALIFY sum({_words('answer')}) OVER (PARTITION BY category ORDER BY bin ROWS UNBOUNDED PRECEDING) <= 3000),
+      g AS (SELECT category, string_agg(answer, chr(10) ORDER BY bin) AS notes, max(n) AS n_bins FROM f GROUP BY 1)
+      SELECT category, CASE WHEN n_bins = 1 THEN notes ELSE {_first_sentence("'Conclude.' || chr(10) || chr(10) || notes")} END AS answer, n_bins FROM g""",
+    "process_db": f"""WITH {_SOURCED}, f AS (SELECT md5(source) AS place, {_strip("string_agg(translate(coalesce(text, ''), chr(10) || chr(13), '  '), chr(10) ORDER BY doc_id)")} AS t FROM d GROUP BY 1)
+      SELECT place, 0 AS page, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS docs_md5, CAST(1 AS BIGINT) AS times_built FROM f""",
+    "list_text_files": f"WITH {_SOURCED} SELECT md5(source) AS place, CAST(sum(strlen(translate(coalesce(text, ''), chr(10) || chr(13), '  ')) + 1) AS BIGINT) AS length FROM d GROUP BY 1",
+    "csv_rows": """SELECT text_md5, count(*) AS n FROM (SELECT md5('doc_id: ' || doc_id || chr(10) || 'lang: ' || coalesce(lang, '') || chr(10) || 'title: ' || coalesce(title, '')) AS text_md5 FROM documents
+      UNION ALL SELECT md5('title: ' || coalesce(title, '') || chr(10) || 'category: ' || coalesce(category, '') || chr(10) || 'n_chars: ' || coalesce(n_chars::VARCHAR, '')) FROM documents) GROUP BY 1""",
+    "delete_by_collection": "SELECT collection, count(*) AS n, 1 AS deleted, 0 AS deleted_again FROM dbs WHERE collection IS DISTINCT FROM (SELECT min(collection) FROM dbs) GROUP BY 1",
+    "store_roundtrip": """WITH m AS (SELECT min(collection) AS c FROM dbs)
+      SELECT collection, ord, ids, md5(docs) AS docs_md5, (SELECT count(*) FROM dbs, m WHERE collection = c AND ord % 3 = 0) AS gone FROM dbs, m WHERE collection IS NOT NULL AND NOT (collection = c AND ord % 3 = 0)""",
+    "directory_store": f"""WITH k AS (SELECT DISTINCT collection FROM dbs WHERE collection IS NOT NULL AND ids IS NOT NULL ORDER BY 1 LIMIT 5)
+      SELECT ids, collection, source FROM dbs WHERE ids IS NOT NULL AND collection IN (SELECT collection FROM k) AND {_base('source')} IN ('manual_0011.pdf', 'report_0001.docx', 'manual_0003.docx')
+      QUALIFY row_number() OVER (PARTITION BY ids ORDER BY collection, source, page NULLS FIRST) = 1""",
+    "add_chunks": f"""SELECT ord, CAST(length(t) AS DOUBLE) AS n_chars, CAST(len(regexp_extract_all(t, '{_PY.replace("[", "[^", 1)}+')) AS DOUBLE) AS n_words FROM (SELECT ord, CASE WHEN ord % 3 = 0 THEN 'a title' ELSE docs END AS t FROM dbs WHERE docs IS NOT NULL)""",
+    "embed_stub": f"""SELECT qid, CAST(length(question) AS DOUBLE) AS n_chars, CAST(len(regexp_extract_all(question, '{_PY.replace("[", "[^", 1)}+')) AS DOUBLE) AS n_words FROM questions""",
+    "memory_nearest": f"""WITH m AS (SELECT min(run_id) AS ord, t FROM (SELECT run_id, 'User: ' || coalesce(prompt, '') || chr(10) || 'AI: ' || coalesce(response, '') AS t FROM handle_table WHERE regexp_matches(coalesce(prompt, ''), '{_NWS}') OR regexp_matches(coalesce(response, ''), '{_NWS}')) GROUP BY t),
+      v AS (SELECT ord, length(t) AS a, len(regexp_extract_all(t, '{_PY.replace("[", "[^", 1)}+')) AS b FROM m),
+      q AS (SELECT CAST(qid AS BIGINT) AS query_id, length(question) AS a, len(regexp_extract_all(question, '{_PY.replace("[", "[^", 1)}+')) AS b FROM questions WHERE qid % 50 = 0),
+      s AS (SELECT query_id, ord, round(1 / (1 + CAST((v.a - q.a) ** 2 + (v.b - q.b) ** 2 AS DOUBLE)), 6) AS score FROM v, q)
+      SELECT query_id, ord, CAST({_RANK} AS INTEGER) AS place FROM s QUALIFY place <= 3""",
+    "questions_roundtrip": "SELECT qid, question_style, question_type, question, array_to_string(choices, '|') AS choices, answer FROM questions",
+    "logs_roundtrip": "SELECT run_id, model, md5(prompt) AS prompt_md5, md5(response) AS response_md5 FROM handle_table",
+    "saved_json": "SELECT qid, question, answer FROM questions",
+    "experiment_metrics": " UNION ALL ".join(
+        [f"SELECT '{c}' AS key, round(avg({c}) FILTER (NOT isnan({c})), 6) AS value FROM handle_table" for c in ("bert", "rouge", "llm_score")]
+        + [f"SELECT '{c}', CAST(count(DISTINCT {c}) AS DOUBLE) FROM handle_table" for c in ("model", "lang")]
+        + ["SELECT 'runs', CAST(count(*) AS DOUBLE) FROM handle_table"]
+    ),
+    "memory_stream": f"""WITH m AS (SELECT run_id, 'User: ' || coalesce(prompt, '') || chr(10) || 'AI: ' || coalesce(response, '') AS t FROM handle_table WHERE regexp_matches(coalesce(prompt, ''), '{_NWS}') OR regexp_matches(coalesce(response, ''), '{_NWS}'))
+      SELECT (length(t) % 7)::VARCHAR || ' parts' AS category, count(*) AS n, min(run_id) AS first_ord, CAST(sum(length(t)) AS BIGINT) AS n_chars FROM m GROUP BY 1""",
+    "memory_markdown": "SELECT 'group ' || (run_id % 5)::VARCHAR AS file, CAST(sum(length('## 2025' || chr(10) || prompt || chr(10)) + 1) AS BIGINT) AS n_chars FROM handle_table WHERE prompt IS NOT NULL GROUP BY 1",
+    "web_search_stub": "SELECT 'T' || i AS title, 'https://x.test/' || i AS url, 'tokens ' || i AS text FROM range(5) t(i)",
+    "url_refresh": f"""WITH b AS ({_LATEST.format("SELECT * FROM ledger WHERE kind = 'url'")}), due AS (SELECT collection, item FROM b WHERE NOT coalesce(fetched_at + INTERVAL 30 DAY >= TIMESTAMPTZ '2025-06-01 00:00:00+00', false))
+      SELECT collection, item AS url, 'T' AS title, md5('T page of ' || item) AS text_md5, count(*) OVER (PARTITION BY collection) AS due FROM due WHERE collection IS NOT NULL""",
+    "rerank_reduce_stub": f"""WITH {_DOCS}, {_lexical('bm25', 'docs', 'queries', 20)}, p AS (SELECT r.query_id, r.ord, {_overlap('q.text', 'd.text')} AS score FROM bm25_r r JOIN docs d USING (ord) JOIN queries q ON q.query_id = r.query_id)
+      SELECT query_id, ord, score, CAST({_RANK} AS INTEGER) AS rank FROM p QUALIFY rank <= 5""",
+    "bert_stub": f"""WITH w AS (SELECT run_id, list_distinct(regexp_extract_all(lower(response), '{_PY.replace("[", "[^", 1)}+')) AS a, list_distinct(regexp_extract_all(lower(prompt), '{_PY.replace("[", "[^", 1)}+')) AS b FROM handle_table)
+      SELECT run_id, coalesce(round(2.0::DOUBLE * len(list_intersect(a, b)) / greatest(len(a) + len(b), 1), 3), 0.0::DOUBLE) AS f1 FROM w""",
+    "toxicity_stub": "SELECT run_id, round(CASE WHEN run_id % 3 = 0 THEN (run_id % 10) / 10 ELSE 1 - (run_id % 10) / 10 END, 6) AS toxicity FROM handle_table",
+    "evaluation_scores": """WITH c AS (SELECT qid, min(array_to_string(inputs, ' ')) AS context FROM handle_table WHERE qid IS NOT NULL GROUP BY 1),
+      p AS (SELECT q.*, CASE WHEN question_type = 'summary' THEN 'Summarise this text.' || chr(10) || chr(10) || coalesce(question, '')
+          ELSE coalesce(context, '') || chr(10) || chr(10) || question || CASE WHEN len(choices) > 0 THEN chr(10) || array_to_string(list_transform(choices, lambda c, i: i::VARCHAR || '. ' || c), chr(10)) ELSE '' END END AS p FROM questions q LEFT JOIN c USING (qid)),
+      r AS (SELECT *, string_split(p, chr(10))[-1] AS response FROM p)
+      SELECT qid, md5(response) AS response_md5, CASE WHEN question_style = 'essay' THEN round(least(1.0::DOUBLE, length('Grade from 0 to 1.' || chr(10) || chr(10) || coalesce(response, '') || chr(10) || chr(10) || coalesce(answer, '')) / 1000), 3) END AS llm_score,
+        CASE WHEN question_style <> 'essay' THEN CASE WHEN coalesce(contains(response, replace(answer, ' ', '')), false) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS hit FROM r""",
+    "translate_stub": "SELECT qid, CASE WHEN strlen(question) = length(question) THEN upper(question) ELSE question END AS translated FROM questions",
+    "json_call_stub": "SELECT qid, CAST(length(coalesce(question, '')) AS INTEGER) AS length FROM questions",
+    "relevant_stub": "SELECT run_id FROM handle_table WHERE contains(string_split(response, chr(10) || chr(10) || 'Question: ')[1], 'chunk')",
+    "tool_functions": "SELECT qid, '<' || question || '>' AS framed, 'puts a text in marks, args: {text:str}' AS explained FROM questions",
+    "tool_results": """SELECT qid, CASE qid % 3 WHEN 0 THEN question WHEN 1 THEN '{"n":' || qid || '}' ELSE '[{"type":"text","text":"a"},{"type":"text","text":"b"}]' END AS result FROM questions""",
+    "character_map": "SELECT doc_id, md5(translate(text, '后国问题检', '後國問題檢')) AS text_md5 FROM documents",
+    "han_token_counts": rf"SELECT doc_id, CAST(coalesce(len(regexp_extract_all(regexp_replace(lower(text), '([\x{{3040}}-\x{{30FF}}\x{{3400}}-\x{{9FFF}}])', ' \1 ', 'g'), '{_WORD}')), 0) AS INTEGER) AS n_tokens, CAST(coalesce(length(text), 0) AS INTEGER) AS n_chars FROM documents",
+    "budget_prefix_characters": f"WITH {_SOURCED}, t AS (SELECT source, doc_id, CAST(sum(coalesce(length(text), 0)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM d) SELECT * FROM t WHERE total <= 9000",
+    "filter_none": "SELECT ord, 0 AS n_matched FROM dbs",
+    "filter_parser": f"SELECT ord FROM dbs WHERE {_ATTR.format('chunk_size')} > 500 AND contains(lower(metadatas['title']), 'notes')",
     "call_estimate": """WITH RECURSIVE c AS (SELECT lang, count(*) AS chunks FROM documents GROUP BY 1),
       p AS (SELECT lang, chunks, CAST(greatest(2, floor((CASE WHEN contains(CASE lower(trim(lang, ' ')) """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LANGUAGES.items()) + """ ELSE 'traditional chinese' END, 'chinese') THEN 2 ELSE 1 END * 3000 - 500) / 1000)) AS BIGINT) AS per_call FROM c),
       r AS (SELECT lang, per_call, CAST(chunks AS BIGINT) AS n, 0::BIGINT AS calls FROM p UNION ALL SELECT lang, per_call, CAST(ceil(n / per_call) AS BIGINT), calls + CAST(ceil(n / per_call) AS BIGINT) FROM r WHERE n > 1)
@@ -164,7 +228,6 @@ ORACLES = {
       FROM dbs d LEFT JOIN (SELECT DISTINCT ids FROM dbs WHERE ord % 3 = 0 AND ids IS NOT NULL) c ON d.ids = c.ids""",
     "delete_by_file": f"""WITH gone AS (SELECT DISTINCT {_base('item')} AS file FROM ledger WHERE kind = 'file' AND item IS NOT NULL AND {_base('item')} LIKE 'report%')
       SELECT ord, source FROM dbs WHERE source IS NULL OR {_base('source')} NOT IN (SELECT file FROM gone)""",
-    "delete_by_collection": "SELECT collection, count(*) AS n FROM dbs WHERE NOT regexp_matches(coalesce(source, ''), '^https?://') GROUP BY 1",
     "ledger_current": f"SELECT collection, item, mtime, written_at FROM ({_LATEST.format('SELECT * FROM ledger')})",
     "ledger_file_status": f"""WITH f AS (SELECT collection, item, max(mtime) AS mtime FROM ledger WHERE kind = 'file' AND item IS NOT NULL GROUP BY ALL),
       b AS ({_LATEST.format("SELECT * FROM ledger WHERE kind = 'file' AND written_at < TIMESTAMPTZ '2025-01-01 00:00:00+00'")})
@@ -240,17 +303,17 @@ ORACLES = {
         ELSE coalesce(nullif(array_to_string(list_filter(list_transform(string_split(path, '/'), lambda x: CASE WHEN trim(x) IN ('.', '') THEN '' ELSE regexp_replace(x, '[^a-zA-Z0-9.-]', '', 'g') END), lambda x: x <> ''), '-'), ''), 'NoPaReNtDiR') END || '_openai_text-embed_1000' AS store,
         regexp_matches(source, '^https?://') AS url, md5(docs) AS docs_md5 FROM p""",
     "category_clean": r"SELECT doc_id, coalesce(nullif(rtrim(regexp_replace(concat_ws(': ', category, title), '[^\p{L}\p{N}_ ]', '', 'g'), ' '), ''), 'uncategorized') AS clean FROM documents",
-    "answer_digits": r"SELECT run_id, coalesce(round(try_cast(nullif(regexp_extract(response, '[0-9]+\.?[0-9]*'), '') AS DOUBLE), 3), 0.0) AS number, coalesce(nullif(regexp_extract(response, '[0-9]'), ''), '-1') AS digit FROM handle_table",
+    "answer_digits": r"SELECT run_id, coalesce(round(try_cast(nullif(regexp_extract(response, '[0-9]+\.?[0-9]*'), '') AS DOUBLE), 3), 0.0) AS number, coalesce(CASE WHEN json_valid(response) THEN nullif(json_extract_string(response, '$.ans'), '') END, nullif(regexp_extract(response, '[0-9]'), ''), '-1') AS digit FROM handle_table",
     "language_names": "SELECT doc_id, CASE lower(trim(lang, ' ')) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LANGUAGES.items()) + " ELSE 'traditional chinese' END AS language FROM documents",
     "thinking_budgets": "SELECT run_id, CAST(CASE run_id % 4 " + " ".join(f"WHEN {i} THEN greatest({floor}, ceil(length(coalesce(response, '')) * {share}::DOUBLE))" for i, (share, floor) in enumerate(THINKING.values())) + " END AS BIGINT) AS budget FROM handle_table",
-    "trace_truncated": "SELECT ord, CAST(CASE WHEN length(docs) > 4000 THEN 4015 ELSE length(docs) END AS INTEGER) AS n_chars FROM dbs WHERE docs IS NOT NULL",
+    "trace_truncated": "SELECT ord, md5(CASE WHEN length(docs) > 4000 THEN docs[:4000] || chr(10) || '... [verbose output truncated]' ELSE docs END) AS trace_md5 FROM dbs WHERE docs IS NOT NULL",
     "content_blocks": "SELECT run_id, md5(coalesce(response, '')) AS answer_md5, md5(coalesce(prompt, '')) AS thinking_md5 FROM handle_table",
     "prompt_messages": """SELECT run_id, CASE WHEN lower(split_part(model, ':', 1)) IN ('openai', 'remote', 'azure', 'anthropic') THEN 'chat_gpt' WHEN lower(split_part(model, ':', 1)) IN ('gemini', 'google') THEN 'chat_gemini'
         WHEN contains(lower(coalesce(model, '')), 'mistral') THEN 'chat_mistral' WHEN contains(lower(coalesce(model, '')), 'gemma') THEN 'chat_gemma' WHEN contains(lower(coalesce(model, '')), 'llama') THEN 'llama' ELSE 'gpt' END AS style,
       md5('system=Be brief.' || CASE WHEN coalesce(prompt, '') <> '' THEN '|user=' || prompt ELSE '' END) AS chat_md5,
       md5('[INST] <<SYS>> Be brief. <</SYS>> ' || chr(10) || prompt || ' [/INST]') AS llama_md5 FROM handle_table""",
     "run_parameters": "SELECT run_id, CAST((coalesce(model, '') <> '')::INT + (coalesce(lang, '') <> '')::INT AS INTEGER) AS n_parameters, nullif(model, '') AS model, md5(coalesce(nullif(array_to_string(metadata, '; '), ''), 'none')) AS line_md5 FROM handle_table",
-    "html_pages": f"SELECT doc_id, CASE WHEN regexp_matches(title, '{_NWS}') THEN regexp_replace(regexp_replace(title, '^{_WS}+', ''), '{_WS}+$', '') ELSE 'No title found' END AS title FROM documents",
+    "html_pages": f"SELECT doc_id, CASE WHEN regexp_matches(title, '{_NWS}') THEN regexp_replace(regexp_replace(title, '^{_WS}+', ''), '{_WS}+$', '') ELSE 'No title found' END AS title, md5(concat_ws(' ', nullif({_strip("coalesce(title, '')")}, ''), nullif({_strip("coalesce(text, '')")}, ''))) AS text_md5 FROM documents",
     "header_dates": "SELECT ord, date_trunc('second', created_at) AS modified FROM dbs WHERE created_at IS NOT NULL",
     "question_choices": """SELECT qid, md5(question || CASE WHEN len(choices) > 0 THEN chr(10) || array_to_string(list_transform(choices, lambda c, i: i::VARCHAR || '. ' || c), chr(10)) ELSE '' END) AS text_md5,
       coalesce(try_cast(trim(answer) AS INTEGER) BETWEEN 1 AND len(choices), false) AS valid FROM questions""",

@@ -132,7 +132,12 @@ def delete_by_file(spark, d):
 
 @query
 def delete_by_collection(spark, d):
-    return dbs(spark, d).where(~X.is_url(F.coalesce("source", F.lit("")))).groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
+    """What is left of a store when the folder of its first collection is deleted; deleting it again finds nothing."""
+    base, rows = _folder(spark), dbs(spark, d).select("ord", "collection")
+    store.append(rows, base)
+    first = rows.agg(F.min("collection")).first()[0]
+    gone, again = (store.drop_collection(spark, base, first) for _ in range(2))
+    return store.read_store(spark, base).groupBy("collection").agg(F.count(F.lit(1)).alias("n")).withColumns({"deleted": F.lit(gone), "deleted_again": F.lit(again)})
 
 
 # Ledger
@@ -486,7 +491,7 @@ def category_clean(spark, d):
 
 @query
 def answer_digits(spark, d):
-    return table(spark, d, "handle_table").select("run_id", X.first_number(F.col("response")).alias("number"), F.coalesce(F.nullif(F.regexp_extract("response", "[0-9]", 0), F.lit("")), F.lit("-1")).alias("digit"))
+    return table(spark, d, "handle_table").select("run_id", X.first_number(F.col("response")).alias("number"), X.answer_digit(F.col("response")).alias("digit"))
 
 
 @query
@@ -507,7 +512,7 @@ def thinking_budgets(spark, d):
 
 @query
 def trace_truncated(spark, d):
-    return dbs(spark, d).where("docs is not null").select("ord", F.char_length(X.truncate_trace(F.col("docs"), 4000)).alias("n_chars"))
+    return dbs(spark, d).where("docs is not null").select("ord", F.md5(X.truncate_trace(F.col("docs"), 4000)).alias("trace_md5"))
 
 
 @query
@@ -535,7 +540,7 @@ def html_pages(spark, d):
     title = F.replace(F.replace(F.coalesce("title", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     html = F.concat(F.lit("<html><head><title>"), title, F.lit("</title><meta charset='utf-8'></head><body><nav>menu</nav><p>"), safe, F.lit("</p><a href='#'>more</a><footer>end</footer></body></html>"))
     page = parallel(table(spark, d, "documents").select("doc_id", html.alias("html"))).select("doc_id", extract_page(F.col("html")).alias("p"))
-    return page.select("doc_id", "p.title")
+    return page.select("doc_id", "p.title", F.md5("p.text").alias("text_md5"))
 
 
 @query
@@ -654,6 +659,305 @@ def stream_fetches(spark, d):
     return window_counts(spark.read.schema("start timestamp, item string").parquet(f"{base}/out"))
 
 
+@query
+def memory_stream(spark, d):
+    """Turns as a stream into the memory, and what it holds afterwards by category."""
+    from ..streaming.ingest import read_memory, stream_memory
+
+    base = _folder(spark)
+    table(spark, d, "handle_table").select(F.col("run_id").alias("ord"), "prompt", "response", F.col("ts").alias("at")).write.parquet(f"{base}/in")
+    turns = spark.readStream.schema("ord bigint, prompt string, response string, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    stream_memory(turns, f"{base}/memory", f"{base}/checkpoint", lambda t: f"{len(t) % 7} parts!").awaitTermination()
+    return read_memory(spark, f"{base}/memory").groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"), F.sum(F.char_length("text")).alias("n_chars"))
+
+
+# Files, stores and sinks
+
+
+def _text_folders(spark, d, base: str) -> None:
+    """The documents of each source as one text file, a document a line, in a folder named by the source's hash."""
+    docs = table(spark, d, "documents").where("source is not null").select(F.md5("source").alias("place"), "doc_id", F.translate(F.coalesce("text", F.lit("")), "\n\r", "  ").alias("value"))
+    docs.repartition("place").sortWithinPartitions("place", "doc_id").select("place", "value").write.partitionBy("place").text(base)
+
+
+def _folders_of(spark, base: str) -> list[str]:
+    return [r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).select(F.regexp_extract("path", "^(.*)/", 1)).distinct().collect()]
+
+
+@query
+def process_db(spark, d):
+    """Folders into the store and back: once to build, a second time when nothing is new."""
+    from ..sources.load import process_db as build
+
+    base = _folder(spark)
+    _text_folders(spark, d, f"{base}/in")
+    folders = _folders_of(spark, f"{base}/in")
+    build(spark, folders, f"{base}/store", f"{base}/ledger", 10**9, 0)
+    chunks, _ = build(spark, [*folders, f"{base}/nowhere"], f"{base}/store", f"{base}/ledger", 10**9, 0)
+    times = spark.read.parquet(f"{base}/ledger").groupBy(F.col("item").alias("source")).agg(F.count(F.lit(1)).alias("times_built"))
+    return chunks.join(times, "source").select(F.regexp_extract("source", "place=([0-9a-f]+)/", 1).alias("place"), "page", F.char_length("docs").alias("n_chars"), F.md5("docs").alias("docs_md5"), "times_built")
+
+
+@query
+def list_text_files(spark, d):
+    from ..sources.files import list_files
+
+    base = _folder(spark)
+    _text_folders(spark, d, base)
+    found = [list_files(spark, f, "txt") for f in _folders_of(spark, base)]
+    from functools import reduce
+
+    return reduce(DataFrame.unionAll, found).select(F.regexp_extract("source", "place=([0-9a-f]+)/", 1).alias("place"), "length")
+
+
+@query
+def csv_rows(spark, d):
+    """Two tables with different headers as CSV, read back row by row."""
+    from ..sources.files import read_csv
+
+    base, docs = _folder(spark), table(spark, d, "documents")
+    for name, columns in (("a", ["doc_id", "lang", "title"]), ("b", ["title", "category", "n_chars"])):
+        docs.select(*columns).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/{name}")
+    return read_csv(spark, [f"{base}/a", f"{base}/b"]).groupBy(F.md5("text").alias("text_md5")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def store_roundtrip(spark, d):
+    """Two appends to a store, one collection rewritten without some rows, and what is read back."""
+    base, rows = f"{_folder(spark)}/store", dbs(spark, d).where("collection is not null").select("ord", "ids", "docs", "collection")
+    store.append(rows.where("ord % 2 = 0"), base)
+    store.append(rows.where("ord % 2 = 1"), base)
+    first = rows.agg(F.min("collection")).first()[0]
+    gone = store.rewrite(spark, base, first, F.col("ord") % 3 != 0)
+    return store.read_store(spark, base).select("collection", "ord", "ids", F.md5("docs").alias("docs_md5"), F.lit(gone).cast("bigint").alias("gone"))
+
+
+@query
+def directory_store(spark, d):
+    """Chunks of two files of some collections, each id once."""
+    from ..sources.load import load_store
+
+    base = f"{_folder(spark)}/store"
+    store.append(dbs(spark, d).where("collection is not null and ids is not null").select("ord", "ids", "source", "page", "collection"), base)
+    names = [r[0] for r in spark.read.parquet(base).select("collection").distinct().orderBy("collection").limit(5).collect()]
+    return load_store(spark, base, names, ["x/manual_0011.pdf", "report_0001.docx", ".\\manual_0003.docx"]).select("ids", "collection", "source")
+
+
+@query
+def add_chunks(spark, d):
+    rows = dbs(spark, d).select("ord", "docs", F.when(F.col("ord") % 3 == 0, F.lit("a title")).alias("search_text"))
+    return store.add_chunks(rows, _lengths).select("ord", F.round(F.element_at("embeds", 1), 1).cast("double").alias("n_chars"), F.round(F.element_at("embeds", 2), 1).cast("double").alias("n_words"))
+
+
+def _lengths(texts: list[str]) -> list[list[float]]:
+    """Stand-in embedder that SQL can follow: characters and words."""
+    return [[float(len(t)), float(len(t.split()))] for t in texts]
+
+
+@query
+def embed_stub(spark, d):
+    return table(spark, d, "questions").select("qid", embed(F.col("question"), _lengths).alias("v")).select("qid", F.element_at("v", 1).cast("double").alias("n_chars"), F.element_at("v", 2).cast("double").alias("n_words"))
+
+
+@query
+def memory_nearest(spark, d):
+    turns = table(spark, d, "handle_table").select(F.col("run_id").alias("ord"), "prompt", "response", F.col("ts").alias("at"))
+    asked = table(spark, d, "questions").where("qid % 50 = 0").select(F.col("qid").cast("bigint").alias("query_id"), embed(F.col("question"), _lengths).alias("vector"))
+    return rag.search_memory(rag.memory_entries(turns, embedder=_lengths), asked, 3).select("query_id", "ord", "place")
+
+
+@query
+def questions_roundtrip(spark, d):
+    from ..sources.sinks import read_questions, write_questions
+
+    base = _folder(spark)
+    write_questions(table(spark, d, "questions"), base)
+    return read_questions(spark, base).select(F.col("qid").cast("int").alias("qid"), "question_style", "question_type", "question", F.array_join("choices", "|").alias("choices"), "answer")
+
+
+@query
+def logs_roundtrip(spark, d):
+    from ..sources.sinks import write_logs
+
+    base = _folder(spark)
+    write_logs(table(spark, d, "handle_table").select("run_id", "model", "prompt", "response"), base)
+    return spark.read.schema("run_id bigint, model string, prompt string, response string").json(base).select("run_id", "model", F.md5("prompt").alias("prompt_md5"), F.md5("response").alias("response_md5"))
+
+
+@query
+def saved_json(spark, d):
+    """Objects in fences and prose, found, saved and read again."""
+    from ..sources.sinks import save_json
+
+    base = _folder(spark)
+    object_ = F.to_json(F.struct("qid", "question", "answer"))
+    texts = table(spark, d, "questions").select(F.when(F.col("qid") % 2 == 0, F.concat(F.lit("Here it is:\n```json\n"), object_, F.lit("\n```\nDone."))).otherwise(F.concat(F.lit("So "), object_, F.lit(" is all."))).alias("text"))
+    save_json(texts, "text", base)
+    return spark.read.schema("qid int, question string, answer string").json(base)
+
+
+@query
+def experiment_metrics(spark, d):
+    from ..sources.sinks import write_experiment
+
+    base = _folder(spark)
+    write_experiment(table(spark, d, "handle_table").select("run_id", "model", "lang", "bert", "rouge", "llm_score"), base, "first", ["model", "lang"], ["bert", "rouge", "llm_score"])
+    metrics, params, runs = (spark.read.parquet(f"{base}/first/{x}") for x in ("metrics", "params", "table"))
+    return metrics.select("key", F.round("value", 6).alias("value")).unionAll(params.groupBy("key").agg(F.count(F.lit(1)).cast("double"))).unionAll(runs.select(F.lit("runs"), F.count(F.lit(1)).cast("double")))
+
+
+@query
+def memory_markdown(spark, d):
+    """Memory blocks as one markdown file for each category."""
+    from ..sources.files import read_text
+    from ..sources.sinks import append_memory, write_markdown
+
+    base = _folder(spark)
+    rows = table(spark, d, "handle_table").where("prompt is not null").select(F.concat(F.lit("group "), (F.col("run_id") % 5).cast("string")).alias("category"), F.lit("2025").alias("at"), "prompt", F.col("prompt").alias("text"))
+    append_memory(rows, f"{base}/memory")
+    files = write_markdown(spark, f"{base}/memory", f"{base}/md")
+    pages = read_text(spark, files)
+    return pages.select(F.regexp_extract("source", "([^/]*)[.]md$", 1).alias("file"), F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def web_search_stub(spark, d):
+    from ..sources.sinks import ENGINES, search_web
+
+    ENGINES["stub"] = lambda q, n: [(f"T{i}", f"https://x.test/{i}", f"{q} {i}") for i in range(n)]
+    return search_web(spark, "stub", "tokens", 5)
+
+
+@query
+def url_refresh(spark, d):
+    """Pages of all urls that are due, fetched again by a stand-in."""
+    import html
+
+    from ..sources.load import refresh_urls
+
+    pages, rows = refresh_urls(table(spark, d, "ledger"), lambda u: f"<title>T</title><p>page of {html.escape(u)}</p>", F.lit(NOW).cast("timestamp"), 30)
+    counted = rows.groupBy("collection").agg(F.count(F.lit(1)).alias("due"))
+    return pages.join(counted, "collection").select("collection", "url", "title", F.md5("text").alias("text_md5"), "due")
+
+
+# Injected models, tools and scores
+
+
+@query
+def rerank_reduce_stub(spark, d):
+    near = R.lexical(_texts(spark, d), _text_queries(spark, d), 20, "bm25").select("query_id", "ord")
+    pool = near.join(_texts(spark, d), "ord").join(_text_queries(spark, d).withColumnRenamed("text", "query"), "query_id")
+    return R.rerank_reduce(pool, R.overlap_scorer, 5)
+
+
+@query
+def svm_threshold(spark, d):
+    return R.svm_above(_vectors(spark, d), _vector_queries(spark, d), 20, 0.5).select("query_id", "ord", "rank")
+
+
+@query
+def bert_stub(spark, d):
+    """An injected scorer: overlap of word sets in place of a language model's similarity."""
+
+    def overlap(candidates, references):
+        sets = [(set(a.lower().split()), set(b.lower().split())) for a, b in zip(candidates, references, strict=True)]
+        return [2 * len(a & b) / ((len(a) + len(b)) or 1) for a, b in sets]
+
+    return table(spark, d, "handle_table").select("run_id", E.bert_score(F.col("response"), F.col("prompt"), overlap).alias("f1"))
+
+
+@query
+def toxicity_stub(spark, d):
+    label = F.when(F.col("run_id") % 3 == 0, F.lit("Toxic")).otherwise(F.lit("neutral"))
+    return table(spark, d, "handle_table").select("run_id", F.round(E.toxicity(label, F.pmod(F.col("run_id"), F.lit(10)) / 10), 6).alias("toxicity"))
+
+
+@query
+def evaluation_scores(spark, d):
+    """Every question answered and scored by stand-ins, without ROUGE-L, which SQL can't follow."""
+    contexts = table(spark, d, "handle_table").where("qid is not null").groupBy("qid").agg(F.min(F.array_join("inputs", " ")).alias("context"))
+    scored = E.evaluate(table(spark, d, "questions"), contexts, lambda p: p.split("\n")[-1], lambda p: f"{min(1.0, len(p) / 1000):.3f}")
+    return scored.select("qid", F.md5("response").alias("response_md5"), "llm_score", "hit")
+
+
+@query
+def translate_stub(spark, d):
+    from ..operators.models import translate
+
+    return table(spark, d, "questions").select("qid", translate(F.col("question"), "German", lambda p: p.split("Text: ", 1)[1].upper() if p.isascii() else p.split("Text: ", 1)[1]).alias("translated"))
+
+
+@query
+def json_call_stub(spark, d):
+    from ..operators.models import to_json_object
+
+    reply = lambda p: 'Sure: {"length": ' + str(len(p.split("Text: ", 1)[1])) + "} as asked"
+    return table(spark, d, "questions").select("qid", F.get_json_object(to_json_object(F.coalesce("question", F.lit("")), ["length"], reply), "$.length").cast("int").alias("length"))
+
+
+@query
+def relevant_stub(spark, d):
+    rows = table(spark, d, "handle_table").select("run_id", "prompt", "response").where("response is not null")
+    return rag.relevant_answers(rows, "response", F.col("prompt"), lambda p: "Yes." if "chunk" in p.split("Answer: ", 1)[1].split("\n\nQuestion: ")[0] else "no").select("run_id")
+
+
+@query
+def tool_functions(spark, d):
+    """A Python function as a tool, called from SQL."""
+    from ..operators.models import tool
+
+    def framed(text: str) -> str:
+        return None if text is None else f"<{text}>"
+
+    made = tool(framed, "puts a text in marks")
+    made.register(spark)
+    table(spark, d, "questions").createOrReplaceTempView("tool_questions")
+    return spark.sql("SELECT qid, framed(question) AS framed FROM tool_questions").withColumn("explained", F.lit(made.explained()))
+
+
+@query
+def tool_results(spark, d):
+    block = lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"))
+    q = F.col("question")
+    blocks = F.when(F.col("qid") % 3 == 0, F.array(block(q))).when(F.col("qid") % 3 == 1, F.array(block(F.concat(F.lit('{ "n" :  '), F.col("qid").cast("string"), F.lit("}"))))).otherwise(F.array(block(F.lit("a")), block(F.lit("b"))))
+    return table(spark, d, "questions").select("qid", X.tool_result(blocks).alias("result"))
+
+
+@query
+def character_map(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(X.map_characters(F.col("text"), "后国问题检", "後國問題檢")).alias("text_md5"))
+
+
+@query
+def han_token_counts(spark, d):
+    from ..functions import counters
+
+    return table(spark, d, "documents").select("doc_id", counters.han_words(F.col("text")).alias("n_tokens"), counters.characters(F.col("text")).alias("n_chars"))
+
+
+@query
+def budget_prefix_characters(spark, d):
+    from ..functions import counters
+
+    return W.prefix_within(table(spark, d, "documents").where("source is not null"), "source", ["doc_id"], counters.characters(F.col("text")), 9000).select("source", "doc_id", "total")
+
+
+@query
+def filter_none(spark, d):
+    return FL.by_metadata(dbs(spark, d), "NO_FILTER", FIELDS).select("ord", F.size("matched_fields").alias("n_matched"))
+
+
+@query
+def filter_parser(spark, d):
+    """A filter in another language, read by an injected parser: ``attribute op value`` joined by ``&``."""
+
+    def parser(text: str):
+        ops = {"=": "eq", ">": "gt", "<": "lt"}
+        return FL.Node("and", tuple(FL.Leaf(ops[op], name, value) for name, op, value in (x.split() for x in text.split("&"))))
+
+    return FL.by_metadata(dbs(spark, d), "chunk_size > 500 & title = notes", FIELDS, parser=parser).select("ord")
+
+
 # Relational smoke
 
 

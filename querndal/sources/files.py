@@ -72,22 +72,23 @@ _PARSED = f"{SCHEMA}, modified timestamp, error string"
 
 
 def raw_files(spark: SparkSession, path: str | list[str], extension: str | None = None) -> DataFrame:
-    """``(path, modificationTime, content)`` of the files in a folder or of the given ones; content is read only where it is selected."""
+    """``(path, modificationTime, content)`` of the files in folders or of the given ones; content is read only where it is selected. ``extension`` may be several as ``{a,b}``."""
     reader = spark.read.format("binaryFile")
     if extension:
         reader = reader.option("pathGlobFilter", f"*.{extension}")
     return reader.load(path).select("path", "modificationTime", "content")
 
 
-def parse_files(raw: DataFrame, pages: Callable[[bytes], list[str]]) -> DataFrame:
-    """``(source, page, text, modified, error)`` of ``raw_files``; a file that can't be read gives one row with its error."""
+def parse_files(raw: DataFrame, pages: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """``(source, page, text, modified, error)`` of ``raw_files``, read by ``pages`` or by their extension; a file that can't be read gives one row with its error."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, of = [], []
             for n, (source, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 try:
-                    found = [(source, i, t, None) for i, t in enumerate(pages(data))]
+                    read = pages or PAGES.get(extension_of(source), text_pages)
+                    found = [(source, i, t, None) for i, t in enumerate(read(data))]
                 except Exception as e:  # whatever a broken file raises
                     found = [(source, None, None, f"{type(e).__name__}: {e}"[:200])]
                 rows += found
@@ -108,10 +109,13 @@ def _sorted_out(every: DataFrame) -> tuple[DataFrame, DataFrame]:
     return every.where(good).drop("error"), every.where(~good).select("source", F.coalesce("error", F.lit("no text")).alias("error"))
 
 
+KNOWN = "{" + ",".join(EXTENSIONS) + "}"
+
+
 def read_directory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(documents, ignored)``: documents of all known file types in their order (``ext_rank``), and sources that couldn't be read or are blank."""
-    every = reduce(DataFrame.unionByName, [read_binary(spark, path, ext, PAGES[ext]).withColumn("ext_rank", F.lit(rank)) for rank, ext in enumerate(EXTENSIONS)])
-    good, ignored = _sorted_out(every)
+    rank = F.array_position(F.array(*[F.lit(e) for e in EXTENSIONS]), F.regexp_extract("source", "[^.]*$", 0)).cast("int") - 1
+    good, ignored = _sorted_out(parse_files(raw_files(spark, path, KNOWN)).withColumn("ext_rank", rank))
     return good.select("ext_rank", "source", "page", "text"), ignored
 
 
@@ -121,8 +125,11 @@ def extension_of(path: str) -> str:
 
 def read_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """``(documents, ignored)`` of the given files, each read by its type; other types are read as text."""
-    parts = [read_binary(spark, [p for p in paths if extension_of(p) == ext], None, PAGES.get(ext, text_pages)) for ext in sorted({extension_of(p) for p in paths})]
-    return _sorted_out(reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{SCHEMA}, error string"))
+    if not paths:
+        none = spark.createDataFrame([], f"{SCHEMA}, error string")
+        return none.drop("error"), none.select("source", "error")
+    good, ignored = _sorted_out(parse_files(raw_files(spark, paths)))
+    return good.select("source", "page", "text"), ignored
 
 
 def read_urls(urls: DataFrame, fetch: Callable[[str], str | None]) -> DataFrame:

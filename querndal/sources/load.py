@@ -14,7 +14,7 @@ from ..operators.chunking import chunk_documents
 from ..runtime import cut, path_kind
 from . import ledger as L
 from . import store as S
-from .files import EXTENSIONS, PAGES, extension_of, parse_files, raw_files, read_urls, text_pages
+from .files import KNOWN, parse_files, raw_files, read_urls
 
 LEDGER = "collection string, item string, kind string, mtime double, fetched_at timestamp, written_at timestamp"
 CHUNKS = "ids string, docs string, embeds array<float>, source string, page int, metadatas map<string,string>, created_at timestamp, collection string"
@@ -65,19 +65,20 @@ def process_db(
     now = F.current_timestamp() if now is None else now
     urls = [x for x in inputs if re.match("^https?://", x)]
     kinds = {x: path_kind(spark, x) for x in inputs if x not in urls}
-    raw = [(ext, raw_files(spark, d, ext)) for d, k in kinds.items() if k == "dir" for ext in EXTENSIONS]
-    files = [x for x, k in kinds.items() if k == "file"]
-    raw += [(ext, raw_files(spark, [f for f in files if extension_of(f) == ext])) for ext in sorted({extension_of(f) for f in files})]
+    folders, files = ([x for x, k in kinds.items() if k == kind] for kind in ("dir", "file"))
+    raw = ([raw_files(spark, folders, KNOWN)] if folders else []) + ([raw_files(spark, files)] if files else [])
     ignored = [spark.createDataFrame([(x, "no such path") for x, k in kinds.items() if k is None], "source string, error string")]
     built = cut(L.current(_read(spark, ledger, LEDGER)))
     documents, items = [], []
-    time = F.col("modificationTime").cast("double")
-    for ext, found in raw:
-        listed = found.select(collection_of(parent(F.col("path")), chunk_size, embedder).alias("collection"), F.col("path").alias("item"), time.alias("mtime")).distinct()
+    if raw:
+        found = reduce(DataFrame.unionAll, raw)
+        listed = found.select(collection_of(parent(F.col("path")), chunk_size, embedder).alias("collection"), F.col("path").alias("item"), F.col("modificationTime").cast("double").alias("mtime")).distinct()
         todo = L.file_status(listed, built).where(F.col("status") != L.ALREADY_BUILT)
-        # Which files are read is settled before their contents are.
-        read = parse_files(found.join(todo.select(F.col("item").alias("path")), "path", "left_semi"), PAGES.get(ext, text_pages))
-        documents.append(read.select(collection_of(parent(F.col("source")), chunk_size, embedder).alias("collection"), "source", "page", F.lit(None).cast("string").alias("title"), "text", "error"))
+        # Which files are parsed is settled before; a file named twice is read once.
+        due = found.join(todo.select(F.col("item").alias("path")), "path", "left_semi")
+        if folders and files:
+            due = due.dropDuplicates(["path"])
+        documents.append(parse_files(due).select(collection_of(parent(F.col("source")), chunk_size, embedder).alias("collection"), "source", "page", F.lit(None).cast("string").alias("title"), "text", "error"))
         items.append(todo.select("collection", "item", F.lit("file").alias("kind"), "mtime", F.lit(None).cast("timestamp").alias("fetched_at")))
     if urls:
         asked = spark.createDataFrame([(u,) for u in dict.fromkeys(urls)], "item string").withColumn("collection", collection_of(F.col("item"), chunk_size, embedder))

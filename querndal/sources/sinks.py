@@ -49,6 +49,42 @@ def append_memory(entries: DataFrame, path: str) -> None:
     entries.select("category", block.alias("value")).write.mode("append").partitionBy("category").text(path)
 
 
+def write_markdown(spark: SparkSession, memory: str, folder: str) -> list[str]:
+    """One ``<category>.md`` for each category of the memory at ``memory``: its blocks, streamed from part to part; returns the files."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for category in sorted(r[0] for r in spark.read.text(memory).select("category").distinct().collect()):
+        escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(category)
+        source, place = jvm.org.apache.hadoop.fs.Path(f"{memory}/category={escaped}"), jvm.org.apache.hadoop.fs.Path(f"{folder}/{escaped}.md")
+        fs = source.getFileSystem(conf)
+        written = fs.create(place, True)
+        for part in sorted((x.getPath() for x in fs.listStatus(source) if x.getPath().getName().startswith("part-")), key=lambda p: p.getName()):
+            opened = fs.open(part)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(opened, written, conf, False)
+            opened.close()
+        written.close()
+        out.append(f"{folder}/{escaped}.md")
+    return out
+
+
+def write_experiment(runs: DataFrame, path: str, name: str, parameters: list[str], metrics: list[str]) -> None:
+    """An experiment's runs: ``parameters`` as text and ``metrics`` as means (NaN left out) in long form, and the table of runs itself, below ``path/name``."""
+    sides = {
+        "params": runs.select(F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in parameters])).alias("p")).select("p.*").where("value is not null").distinct(),
+        "metrics": runs.select(F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.nanvl(F.col(c).cast("double"), F.lit(None)).alias("value")) for c in metrics])).alias("m")).groupBy("m.key").agg(F.avg("m.value").alias("value")),
+        "table": runs,
+    }
+    for side, df in sides.items():
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}/{side}")
+
+
+def save_json(texts: DataFrame, text: str, path: str) -> None:
+    """The JSON objects in a column of texts as JSON lines; texts without any are left out."""
+    from ..functions.json_text import extract_objects
+
+    texts.select(F.explode(extract_objects(F.col(text))).alias("value")).write.mode("append").text(path)
+
+
 #: Search engines by name: a callable (query, count) -> list of (title, url, text).
 ENGINES: dict[str, Callable[[str, int], list[tuple[str, str, str]]]] = {}
 

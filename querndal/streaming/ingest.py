@@ -55,3 +55,37 @@ def stale_urls(ledger: DataFrame, watermark: str, days: int) -> DataFrame:
 def window_counts(pairs: DataFrame) -> DataFrame:
     """``(start, urls)`` of what ``stale_urls`` has written."""
     return pairs.groupBy("start").agg(F.count("item").alias("urls"))
+
+
+def stream_memory(turns: DataFrame, memory: str, checkpoint: str, categorise="stub:first_sentence", embedder="stub:hash"):
+    """Start appending a stream of ``(ord, prompt, response, at)`` to the memory; each batch can be searched as soon as it is written.
+
+    A batch that runs again after a failure overwrites its own folder.
+    """
+    from ..operators.rag import memory_entries
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        memory_entries(batch, categorise, embedder).write.mode("overwrite").parquet(f"{memory}/batch={batch_id}")
+
+    return turns.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_memory(spark: SparkSession, memory: str) -> DataFrame:
+    """All entries that a stream has written, with their batch."""
+    return spark.read.option("basePath", memory).parquet(memory)
+
+
+def init_memory(spark: SparkSession, memory: str) -> DataFrame:
+    """The memory at a place; a new one begins with a greeting."""
+    from ..operators.rag import memory_entries
+    from ..runtime import path_kind
+
+    if not path_kind(spark, memory):
+        hello = spark.createDataFrame([(0, "Hello", "Hello, this is your memory.", None)], "ord bigint, prompt string, response string, at timestamp")
+        memory_entries(hello).write.parquet(f"{memory}/batch=-1")
+    return read_memory(spark, memory)
+
+
+def show_memory(memory: DataFrame, n: int = 100) -> DataFrame:
+    """The first n texts."""
+    return memory.orderBy("batch", "ord").select("ord", "text").limit(n)
