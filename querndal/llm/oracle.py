@@ -26,7 +26,30 @@ found AS (
 
 _CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]"
 
+_WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _last(window: str, pattern: str) -> str:
+    """Place of the last match's end in a window, 0 if there is none."""
+    return f"length(regexp_extract({window}, '(?s)^.*{pattern}'))"
+
+
+def _digits(key: str, least: int, default: int) -> str:
+    value = f"CASE WHEN regexp_full_match(trim(metadatas['{key}'], ' '), '[0-9]+') THEN try_cast(trim(metadatas['{key}'], ' ') AS BIGINT) END"
+    return f"CASE WHEN {value} >= {least} THEN {value} ELSE {default} END"
+
+
+_W = "docs[s + size // 2 + 1:s + size]"
+_STOP = f"greatest({_last('docs[s + size // 2 + 1:s + size + 1]', '[.!?]' + _WS)} - 1, {_last(_W, '[。！？]')})"
+#: End of the piece that begins at s.
+_END = f"""CASE WHEN length(docs) - s <= size THEN length(docs) ELSE s + size // 2 + CASE WHEN {_last(_W, chr(92) + 'n')} > 0 THEN {_last(_W, chr(92) + 'n')} WHEN {_STOP} > 0 THEN {_STOP}
+    WHEN {_last(_W, _WS)} > 0 THEN {_last(_W, _WS)} ELSE size - size // 2 END END"""
+
 ORACLES = {
+    "p4_found": f"""WITH RECURSIVE d AS (SELECT * FROM (SELECT ord, docs, {_digits('chunk_size', 1, 1000)} AS size, {_digits('chunk_overlap', 0, 100)} AS overlap FROM dbs) WHERE length(docs) > size),
+      r AS (SELECT ord, 0 AS piece_no, s, {_END} AS e FROM (SELECT *, 0::BIGINT AS s FROM d)
+        UNION ALL SELECT ord, piece_no + 1, s, {_END} FROM (SELECT d.*, r.piece_no, greatest(r.s + 1, r.e - overlap) AS s FROM r JOIN d USING (ord) WHERE r.e < length(docs)))
+      SELECT ord, CAST(piece_no AS INTEGER) AS piece_no, CAST(s AS INTEGER) AS start_at, CAST(e AS INTEGER) AS end_at FROM r""",
     "p1_found": rf"""WITH t AS (SELECT ord, regexp_extract_all(regexp_replace(lower(docs), '({_CJK})', ' \1 ', 'g'), '{_CJK}|[\p{{L}}\p{{N}}]+') AS w FROM dbs WHERE docs IS NOT NULL),
       g AS (SELECT DISTINCT ord, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT ord, w, unnest(generate_series(1, len(w) - 4)) AS i FROM t WHERE len(w) >= 20)),
       n AS (SELECT ord, count(*) AS n FROM g GROUP BY 1),
