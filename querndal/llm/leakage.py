@@ -6,8 +6,9 @@ answered as in block-max WAND, for many passages at once:
 
 1. The pivot: a passage's tokens are taken in ascending order of their best weight in any item. As long as the sum stays under the
    least threshold of all items, an item that holds only these tokens can't be retrieved, so their postings are not opened.
-2. The blocks in the postings of the other tokens are candidates. The sum of the block's best weights over all tokens of the passage
-   bounds what its items can score; blocks whose bound stays under their lowest threshold are left.
+2. The blocks in the postings of the other tokens are candidates. Their best weights there and the best weights of the unopened tokens anywhere
+   bound what a block's items can score, more narrowly the block's best weights over all tokens; blocks whose bound stays under their lowest
+   threshold are left.
 3. The items of the other blocks are scored exactly, and all at or above their threshold are retrieved.
 4. Verification: passage and item must share a run of ``run`` tokens.
 
@@ -116,11 +117,17 @@ class ItemIndex:
             before = np.concatenate([[0.0], sums])[start[p]]
             opened = sums - before >= self.block_least.min() * (1 - 1e-9)  # from the pivot on
             at, owner = _spans(self.block_at[t[opened]], self.block_at[t[opened] + 1])
-            pairs = np.unique(p[opened][owner] * self.blocks + self.block_code[at] % self.blocks)
+            pairs, pair = np.unique(p[opened][owner] * self.blocks + self.block_code[at] % self.blocks, return_inverse=True)
             cp, cb = pairs // self.blocks, pairs % self.blocks
+            # What the opened postings say of a block, and at most the best weights of all other tokens.
+            rest = np.bincount(p[~opened], self.best[t[~opened]], minlength=4096)
+            near = np.bincount(pair, self.block_max[at], minlength=len(pairs)) + rest[cp] >= self.block_least[cb] * (1 - 1e-9)
+            cp, cb = cp[near], cb[near]
+            if not len(cp):
+                continue
             at, owner = _spans(start[cp], start[cp + 1])
             found = _place(self.block_code, t[at] * self.blocks + cb[owner])
-            bound = np.bincount(owner, np.where(found < 0, 0.0, self.block_max[found]), minlength=len(pairs))
+            bound = np.bincount(owner, np.where(found < 0, 0.0, self.block_max[found]), minlength=len(cp))
             keep = bound >= self.block_least[cb]
             cp, cb = cp[keep], cb[keep]
             if not len(cp):
