@@ -155,6 +155,14 @@ ORACLES = {
     "list_text_files": f"WITH {_SOURCED} SELECT md5(source) AS place, CAST(sum(strlen(translate(coalesce(text, ''), chr(10) || chr(13), '  ')) + 1) AS BIGINT) AS length FROM d GROUP BY 1",
     "csv_rows": """SELECT text_md5, count(*) AS n FROM (SELECT md5('doc_id: ' || doc_id || chr(10) || 'lang: ' || coalesce(lang, '') || chr(10) || 'title: ' || coalesce(title, '')) AS text_md5 FROM documents
       UNION ALL SELECT md5('title: ' || coalesce(title, '') || chr(10) || 'category: ' || coalesce(category, '') || chr(10) || 'n_chars: ' || coalesce(n_chars::VARCHAR, '')) FROM documents) GROUP BY 1""",
+    **{
+        name: f"""SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN 0 END AS page, CASE WHEN doc_id % 10 <> 0 THEN md5(coalesce(source, '') || chr(10) || coalesce(trim(lang, ' '), '')) END AS text_md5, doc_id % 10 = 0 AS failed FROM documents"""
+        for name in ("docx_texts", "pptx_texts")
+    },
+    "info_texts": f"""WITH {_SOURCED}, f AS (SELECT sum(length(translate(coalesce(text, ''), chr(10) || chr(13), '  ')) + 1) AS n FROM d GROUP BY source)
+      SELECT 'file' AS kind, count(*) AS n, CAST(sum(n) AS BIGINT) AS n_chars FROM f UNION ALL SELECT 'text', 1, 11 UNION ALL SELECT 'page', 1, 18""",
+    "essay_notes": "SELECT qid, CASE WHEN question_style = 'essay' AND qid % 2 = 0 THEN '請用中文回答 Be brief.' ELSE 'Be brief.' END AS system FROM questions",
+    "json_rows": "SELECT run_id, CAST(to_json({'run_id': run_id, 'qid': qid, 'model': model, 'prompt': prompt}) AS VARCHAR) AS row FROM handle_table",
     "delete_by_collection": "SELECT collection, count(*) AS n, 1 AS deleted, 0 AS deleted_again FROM dbs WHERE collection IS DISTINCT FROM (SELECT min(collection) FROM dbs) GROUP BY 1",
     "store_roundtrip": """WITH m AS (SELECT min(collection) AS c FROM dbs)
       SELECT collection, ord, ids, md5(docs) AS docs_md5, (SELECT count(*) FROM dbs, m WHERE collection = c AND ord % 3 = 0) AS gone FROM dbs, m WHERE collection IS NOT NULL AND NOT (collection = c AND ord % 3 = 0)""",

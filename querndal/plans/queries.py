@@ -721,6 +721,59 @@ def csv_rows(spark, d):
     return read_csv(spark, [f"{base}/a", f"{base}/b"]).groupBy(F.md5("text").alias("text_md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _office(name: str, paragraph: str, run: str):
+    """Column function: an office file whose one part holds the given lines."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    def build(a, b):
+        out = []
+        for lines in zip(a, b, strict=True):
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w") as z:
+                z.writestr(name, '<x xmlns:n="n">' + "".join(f"<n:{paragraph}><n:{run}>{escape(t)}</n:{run}></n:{paragraph}>" for t in lines) + "</x>")
+            out.append(held.getvalue())
+        import pandas as pd
+
+        return pd.Series(out)
+
+    return F.pandas_udf(build, "binary")
+
+
+def _office_texts(spark, d, extension: str, name: str):
+    from ..sources.files import parse_files
+
+    made = _office(name, "p", "t")(F.coalesce("source", F.lit("")), F.coalesce(F.trim("lang"), F.lit("")))
+    content = F.when(F.col("doc_id") % 10 == 0, F.lit(b"broken")).otherwise(made)
+    raw = table(spark, d, "documents").select(F.concat("doc_id", F.lit(f".{extension}")).alias("path"), F.current_timestamp().alias("modificationTime"), content.alias("content"))
+    return parse_files(raw).select(F.split_part("source", F.lit("."), F.lit(1)).cast("bigint").alias("doc_id"), "page", F.md5("text").alias("text_md5"), F.col("error").isNotNull().alias("failed"))
+
+
+@query
+def docx_texts(spark, d):
+    """Word files with two paragraphs, every tenth of them broken, read by their type."""
+    return _office_texts(spark, d, "docx", "word/document.xml")
+
+
+@query
+def pptx_texts(spark, d):
+    return _office_texts(spark, d, "pptx", "ppt/slides/slide1.xml")
+
+
+@query
+def info_texts(spark, d):
+    """A folder, a file of it, a page and plain text as one source."""
+    from ..sources.files import read_info
+
+    base = _folder(spark)
+    _text_folders(spark, d, base)
+    folders = sorted(_folders_of(spark, base))
+    rows = read_info(spark, [*folders, "", "plain words", "https://x.test/a"], lambda u: f"<title>t</title><p>{u}</p>")
+    kind = F.when(F.col("source").isNull(), F.lit("text")).when(F.col("source").startswith("https"), F.lit("page")).otherwise(F.lit("file"))
+    return rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("n_chars"))
+
+
 @query
 def store_roundtrip(spark, d):
     """Two appends to a store, one collection rewritten without some rows, and what is read back."""
@@ -923,6 +976,18 @@ def tool_results(spark, d):
     return table(spark, d, "questions").select("qid", X.tool_result(blocks).alias("result"))
 
 
+@query
+def essay_notes(spark, d):
+    q = table(spark, d, "questions")
+    language = F.when(F.col("qid") % 2 == 0, F.lit("ch")).otherwise(F.lit("en"))
+    return q.select("qid", prompts.with_essay_note(F.lit("Be brief."), F.col("question_style"), language).alias("system"))
+
+
+@query
+def json_rows(spark, d):
+    return table(spark, d, "handle_table").select("run_id", X.json_safe(F.struct("run_id", "qid", "model", "prompt")).alias("row"))
+
+
 @query
 def character_map(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.map_characters(F.col("text"), "后国问题检", "後國問題檢")).alias("text_md5"))

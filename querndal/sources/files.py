@@ -192,7 +192,8 @@ def read_info(spark: SparkSession, info, fetch: Callable[[str], str] | None = No
         s = str(x)
         if not s:
             continue
-        kind = path_kind(spark, s) if len(s) < 255 and not re.search(r"[\n:?*\[{]", s.partition("://")[2] or s) else None
+        # A colon beyond the scheme, a line feed or a pattern is no path.
+        kind = path_kind(spark, s) if len(s) < 255 and not re.search(r"[\n:?*\[{]", re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/", "/", s)) else None
         if re.match("^https?://", s):
             urls.append((s,))
         elif kind == "dir":
