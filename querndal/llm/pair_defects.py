@@ -54,6 +54,10 @@ DECLINES = r"""
 (?:我|恕|本系統|這邊)?.{0,8}(?:無法|无法|不能|不便|難以|难以|不方便|恕難|恕难|拒絕|拒绝|不予)(?:.{0,14})(?:回答|提供|協助|协助|說明|说明|討論|讨论|透露|處理|处理|告知|答覆|回應|配合)|超出.{0,6}(?:權限|权限|範圍|范围)|(?:違反|违反|不符).{0,8}(?:規定|规定|政策|準則|准则)
 (?:お答え|お応え|回答|提供|お伝え|ご案内|お手伝い|対応|ご説明|お話し?)(?:は|を|に)?.{0,6}(?:できません|できかねます|しかねます|いたしかねます|控え|差し控え|出来ません|お断り)|お断り(?:し|いた)|権限(?:が|は|を)?.{0,4}(?:ありません|ございません|超え)
 """
+#: Every pattern of DECLINES holds one of these, so a text without any is not searched.
+DECLINE_WORDS = """not n't unable must have\u00a0to decline refuse against outside beyond polic guideline rules instruction nicht kein lehne verstößt widerspricht
+puedo podemos permitid posible autoriz tengo debo prefiero niego contra fuera 無法 无法 不能 不便 難以 难以 不方便 恕難 恕难 拒絕 拒绝 不予 超出 違反 违反 不符
+できません できかねます しかねます 控え 出来ません お断り 権限"""
 #: Names of languages in several languages.
 LANGUAGE_NAMES = {
     "en": "english englisch inglés ingles 英文 英語 英语 ภาษาอังกฤษ अंग्रेज़ी",
@@ -86,9 +90,11 @@ _noise = re.compile(r"https?://[!-~]+|(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]+(?:\.[A-Z
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _letters = re.compile(r"[^\W\d_]+")
 _no_letters = re.compile(r"[\W_]+")
+_forty = re.compile(r"(?:[\W_]*[^\W_]){40}")
 _latin = re.compile(r"[A-Za-zÀ-ɏ]")
 _courtesy = re.compile("|".join(x for x in COURTESIES.strip().split("\n")), re.I)
 _decline = re.compile("|".join(DECLINES.strip().split("\n")), re.I)
+_decline_words = [w.replace("\u00a0", " ") for w in re.split(r"[ \n]+", DECLINE_WORDS)]
 _names = {c: "|".join(v.split()) for c, v in LANGUAGE_NAMES.items()}
 _asks = {c: re.compile(rf"(?:(?:{VERBS})\b[^.:：。?？]{{0,24}}?(?:{n})|(?:用|以|使用)\s*(?:{n})|(?:{n})(?:で|作答|回答))", re.I) for c, n in _names.items()}
 _any_name = re.compile("|".join(_names.values()), re.I)
@@ -105,7 +111,11 @@ def bare(text: str) -> str:
 def is_empty(response: str | None) -> bool:
     if response is None:
         return True
-    s = _markup.sub(" ", _zero_width.sub("", response))
+    s = _zero_width.sub("", response)
+    if not s.isascii() or "<" in s or "&" in s or "`" in s:
+        s = _markup.sub(" ", s)
+    if _forty.match(s):
+        return False  # longer than any label or placeholder
     rest = bare(s)
     for w in LABELS:
         if rest.startswith(w) and re.match(rf"\W*{re.escape(w)}\s*(?:[:：]|\W*$)", unicodedata.normalize("NFKC", s).lower()):
@@ -158,6 +168,9 @@ def is_copy(prompt: str, response: str) -> bool:
 
 
 def is_refusal(response: str) -> bool:
+    low = response.lower()
+    if not any(w in low for w in _decline_words):
+        return False
     parts = [x.strip(" .!?。！？\"”“「」()") for x in _sentence_end.split(response)]
     parts = [x for x in parts if bare(x)]
     declines = [bool(_decline.search(x)) for x in parts]

@@ -1,9 +1,10 @@
 import random
+import re
 import time
 
 import pytest
 
-from querndal.llm.pair_defects import Models, _covered, broken_pairs, is_copy, is_empty, is_refusal, is_truncated, languages
+from querndal.llm.pair_defects import DECLINES, Models, _covered, _decline_words, broken_pairs, is_copy, is_empty, is_refusal, is_truncated, languages
 
 NONE = Models({"en": {"the": -1.0, "files": -3.0}, "de": {"die": -1.0, "dateien": -3.0}}, {"en": -9.0, "de": -9.0}, {"laut Dr.": (0, 40), "Dr.": (0, 40), "ready.": (20, 30)}, 0.3)
 
@@ -28,7 +29,10 @@ def test_no_copy(response):
     assert not is_copy("Which files were lost in May?", response)
 
 
-@pytest.mark.parametrize("text", ["I'm sorry, but I can't help with that.", "Sorry, I must pass on this one. Please ask your administrator.", "抱歉，我無法回答這個問題。請洽系統管理員。", "その質問にはお答えできません。", "Leider kann ich diese Frage nicht beantworten.", "Lo siento, no puedo responder a esa pregunta."])
+REFUSALS = ["I'm sorry, but I can't help with that.", "Sorry, I must pass on this one. Please ask your administrator.", "抱歉，我無法回答這個問題。請洽系統管理員。", "その質問にはお答えできません。", "Leider kann ich diese Frage nicht beantworten.", "Lo siento, no puedo responder a esa pregunta."]
+
+
+@pytest.mark.parametrize("text", REFUSALS)
 def test_refusal(text):
     assert is_refusal(text)
 
@@ -95,3 +99,11 @@ def test_table(spark):
     df = spark.createDataFrame([(*r, "clash") for r in rows], "run_id bigint, prompt string, response string, defect string")
     assert {tuple(r) for r in broken_pairs(df).collect()} == {(1, "empty"), (2, "copy"), (3, "refusal"), (4, "language"), (5, "truncated")}
     assert broken_pairs(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("line", DECLINES.strip().split("\n"))
+def test_every_declining_pattern_needs_a_word_of_the_gate(line):
+    """The alternatives of each pattern, spelled out, hold a word without which nothing is searched."""
+    for text in REFUSALS:
+        if re.search(line, text, re.I):
+            assert any(w in text.lower() for w in _decline_words)
