@@ -187,7 +187,7 @@ def read_info(spark: SparkSession, info, fetch: Callable[[str], str] | None = No
     """Documents of a text, path, url or list of them: empty strings are skipped, urls go through ``fetch`` (HTML), files are read by their type,
     strings of 255 characters or more and unknown paths are text themselves. Paths are those of Spark's file systems."""
     rows: list[tuple] = []
-    urls, files, frames = [], [], []
+    urls, folders, files, frames = [], [], [], []
     for x in info if isinstance(info, (list, tuple)) else [info]:
         s = str(x)
         if not s:
@@ -197,11 +197,13 @@ def read_info(spark: SparkSession, info, fetch: Callable[[str], str] | None = No
         if re.match("^https?://", s):
             urls.append((s,))
         elif kind == "dir":
-            frames.append(read_directory(spark, s)[0].select("source", "page", "text"))
+            folders.append(s)
         elif kind == "file":
             files.append(s)
         else:
             rows.append((None, 0, s))
+    if folders:
+        frames.append(_sorted_out(parse_files(raw_files(spark, folders, KNOWN)))[0].select("source", "page", "text"))
     if files:
         frames.append(read_files(spark, files)[0])
     if urls:
