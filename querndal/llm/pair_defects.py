@@ -97,7 +97,7 @@ _decline = re.compile("|".join(DECLINES.strip().split("\n")), re.I)
 _decline_words = [w.replace("\u00a0", " ") for w in re.split(r"[ \n]+", DECLINE_WORDS)]
 _names = {c: "|".join(v.split()) for c, v in LANGUAGE_NAMES.items()}
 _asks = {c: re.compile(rf"(?:(?:{VERBS})\b[^.:：。?？]{{0,24}}?(?:{n})|(?:用|以|使用)\s*(?:{n})|(?:{n})(?:で|作答|回答))", re.I) for c, n in _names.items()}
-_any_name = re.compile("|".join(_names.values()), re.I)
+_any_name = sorted({w.split("\\s+")[-1] for v in _names.values() for w in v.split("|")})
 _tail = re.compile(r"(\S+)\s*$")
 _OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』", "【": "】", "«": "»", "“": "”", "„": "“"}
 _end_mark = re.compile(r"[.!?。！？…।」』）)\"”“»\]}]$")
@@ -105,13 +105,13 @@ _end_mark = re.compile(r"[.!?。！？…।」』）)\"”“»\]}]$")
 
 def bare(text: str) -> str:
     """Letters and digits of a text, lower case, NFKC."""
-    return _no_letters.sub("", unicodedata.normalize("NFKC", text).lower())
+    return _no_letters.sub("", (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower())
 
 
 def is_empty(response: str | None) -> bool:
     if response is None:
         return True
-    s = _zero_width.sub("", response)
+    s = response if response.isascii() else _zero_width.sub("", response)
     if not s.isascii() or "<" in s or "&" in s or "`" in s:
         s = _markup.sub(" ", s)
     if _forty.match(s):
@@ -179,7 +179,8 @@ def is_refusal(response: str) -> bool:
 
 def asked_language(prompt: str) -> str | None:
     """The language that the prompt names for the answer: the earliest one named."""
-    if not _any_name.search(prompt):
+    low = prompt.lower()
+    if not any(n in low for n in _any_name):
         return None
     found = [(m.start(), c) for c, x in _asks.items() if (m := x.search(prompt))]
     return min(found)[1] if found else None
@@ -187,7 +188,7 @@ def asked_language(prompt: str) -> str | None:
 
 def plain_of(text: str) -> str:
     """A text without code, objects, file names, identifiers and numbers."""
-    return _noise.sub(" ", _fence.sub(" ", text))
+    return _noise.sub(" ", _fence.sub(" ", text) if "```" in text else text)
 
 
 def words_of(plain: str) -> list[str]:
@@ -256,7 +257,7 @@ def tails(words: list[str]) -> list[str]:
 
 
 def is_truncated(response: str, models: Models) -> bool:
-    s = _zero_width.sub("", response).strip()
+    s = (response if response.isascii() else _zero_width.sub("", response)).strip()
     if s.count("```") % 2:
         return True
     if s.endswith("```"):
