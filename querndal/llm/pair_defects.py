@@ -87,6 +87,7 @@ _fence = re.compile(r"```.*?(?:```|$)", re.S)
 _object = re.compile(r"^\s*[\[{].*", re.S)
 _sentence_end = re.compile(r"(?<=[.!?])[\"”»)]*\s+|(?<=[。！？])[」』）]*|\n+")
 _noise = re.compile(r"https?://[!-~]+|(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.(?:txt|md|csv|json|pdf|docx|pptx|html?|py)(?![A-Za-z])|(?<![A-Za-z0-9_])[A-Za-z0-9]*_[A-Za-z0-9_]*|(?<![A-Za-z])[a-z]+[A-Z][A-Za-z0-9]*|\d+")
+_may_be_noise = re.compile(r"[\d_/]|[a-z][A-Z]|\.[a-z]")  # every alternative of the noise holds one of these
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _letters = re.compile(r"[^\W\d_]+")
 _no_letters = re.compile(r"[\W_]+")
@@ -103,6 +104,21 @@ _OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』",
 _end_mark = re.compile(r"[.!?。！？…।」』）)\"”“»\]}]$")
 
 
+_ascii: dict[int, list[str]] = {}
+
+
+def _holds_any(text: str, words: list[str]) -> bool:
+    """Does a text hold one of the words of a list of this module?"""
+    if text.isascii():
+        if id(words) not in _ascii:
+            _ascii[id(words)] = [w for w in words if w.isascii()]
+        words = _ascii[id(words)]
+    for w in words:
+        if w in text:
+            return True
+    return False
+
+
 def bare(text: str) -> str:
     """Letters and digits of a text, lower case, NFKC."""
     return _no_letters.sub("", (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower())
@@ -169,7 +185,7 @@ def is_copy(prompt: str, response: str) -> bool:
 
 def is_refusal(response: str) -> bool:
     low = response.lower()
-    if not any(w in low for w in _decline_words):
+    if not _holds_any(low, _decline_words):
         return False
     parts = [x.strip(" .!?。！？\"”“「」()") for x in _sentence_end.split(response)]
     parts = [x for x in parts if bare(x)]
@@ -180,7 +196,7 @@ def is_refusal(response: str) -> bool:
 def asked_language(prompt: str) -> str | None:
     """The language that the prompt names for the answer: the earliest one named."""
     low = prompt.lower()
-    if not any(n in low for n in _any_name):
+    if not _holds_any(low, _any_name):
         return None
     found = [(m.start(), c) for c, x in _asks.items() if (m := x.search(prompt))]
     return min(found)[1] if found else None
@@ -188,11 +204,12 @@ def asked_language(prompt: str) -> str | None:
 
 def plain_of(text: str) -> str:
     """A text without code, objects, file names, identifiers and numbers."""
-    return _noise.sub(" ", _fence.sub(" ", text) if "```" in text else text)
+    text = _fence.sub(" ", text) if "```" in text else text
+    return _noise.sub(" ", text) if _may_be_noise.search(text) else text
 
 
 def words_of(plain: str) -> list[str]:
-    return [w.lower() for w in _letters.findall(plain)]
+    return _letters.findall(plain.lower())
 
 
 class Models:
