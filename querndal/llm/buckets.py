@@ -7,7 +7,7 @@ Buckets arrive as ``(key, id, sketch...)``. Three ways, by the size of a key; no
 2. Keys that a frequent-items sketch (merged from partial sketches, nothing is shuffled for it) reports with over ``hot`` rows
    never reach that shuffle. Rows of both kinds of hot keys get finer keys (``finer``: more rows of the signature or more
    projections beside the hot key) and are paired as in 1.
-3. Rows of finer keys that are still over-full are dealt into blocks, and each pair of blocks is a group of bounded size
+3. Rows of finer keys that are still over-full, and of hot keys that finer keys would only multiply, are dealt into blocks, and each pair of blocks is a group of bounded size
    that is verified where it stands and emits survivors only.
 """
 
@@ -135,10 +135,12 @@ def meeting_pairs(
     verify: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame],
     hot: int,
     block: int,
+    finer_from: int = 0,
 ) -> DataFrame:
     """``(a, b)``, a < b, distinct: the rows that share a key and pass ``test``, in hot keys a finer key and ``test`` or ``verify``.
 
-    ``finer`` turns the hot keys' rows ``(key, id)`` into rows shaped as ``rows``.
+    ``finer`` turns the hot keys' rows ``(key, id)`` into rows shaped as ``rows``. Hot keys of up to ``finer_from`` rows go to blocks at once, where
+    comparing them costs less than finer keys.
     """
 
     def split(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -153,6 +155,13 @@ def meeting_pairs(
         return met.where("b is not null").select("a", "b"), hotter
 
     pairs, hotter = split(rows)
+    if hotter is not None and finer_from > hot:
+        hotter = cut(hotter.distinct())
+        huge = hotter.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > finer_from).select("key")
+        pairs = pairs.unionAll(hot_pairs(hotter.join(huge, "key", "left_anti"), payload, verify, block))
+        hotter = hotter.join(huge, "key", "left_semi")
+        if not hotter.limit(1).count():
+            hotter = None
     if hotter is not None:
         more, hottest = split(cut(finer(hotter.distinct())))
         pairs = pairs.unionAll(more)

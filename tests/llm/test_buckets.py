@@ -7,7 +7,7 @@ import pytest
 
 from querndal.llm.buckets import cool_pairs, hot_keys, meeting_pairs
 from querndal.llm.near_dup import near_duplicate_pairs
-from querndal.llm.similar_vectors import scheme
+from querndal.llm.similar_vectors import scheme, similar_pairs, unit
 
 
 @pytest.fixture
@@ -37,7 +37,8 @@ def test_over_full_keys_are_handed_on_whole(spark, small_batches):
     assert set(pairs.values()) == {1} and set(pairs) == {(1000 * k + i, 1000 * k + j) for k, n in sizes.items() if n <= 6 for i, j in itertools.combinations(range(n), 2)}
 
 
-def test_every_level_keeps_all_pairs_of_equal_finer_keys(spark):
+@pytest.mark.parametrize("finer_from", [0, 20, 100])
+def test_every_level_keeps_all_pairs_of_equal_finer_keys(spark, finer_from):
     """Finer keys that split nothing end in blocks; no pair is lost or repeated."""
     df = spark.createDataFrame(rows_of({1: 40, 2: 3, 3: 15}), "key bigint, id bigint, s bigint")
 
@@ -47,7 +48,7 @@ def test_every_level_keeps_all_pairs_of_equal_finer_keys(spark):
         return pd.DataFrame({"a": np.minimum(p[i], q[j]), "b": np.maximum(p[i], q[j])})
 
     always = lambda a, b: np.ones(len(a), bool)
-    got = [tuple(r) for r in meeting_pairs(df, df.select("id"), always, lambda hot: hot.selectExpr("key", "id", "0L as s"), verify, 10, 4).collect()]
+    got = [tuple(r) for r in meeting_pairs(df, df.select("id"), always, lambda hot: hot.selectExpr("key", "id", "0L as s"), verify, 10, 4, finer_from).collect()]
     assert len(got) == len(set(got)) and set(got) == {(1000 * k + i, 1000 * k + j) for k, n in ((1, 40), (2, 3), (3, 15)) for i, j in itertools.combinations(range(n), 2)}
 
 
@@ -69,6 +70,19 @@ def test_copies_fill_no_buckets(spark):
     assert got == want
 
 
+def test_a_third_of_all_rows_in_one_dense_cluster(spark):
+    """Different vectors, all at about 0.93 from each other, beside unrelated ones: found by blocks, with nearly full recall."""
+    rng = np.random.default_rng(0)
+    center = rng.standard_normal(64)
+    x = np.concatenate([center + rng.standard_normal((600, 64)) * 0.25, rng.standard_normal((1200, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "ord bigint, embeds array<float>")
+    got = {tuple(r) for r in similar_pairs(df, "ord", "embeds", 64, hot=100, block=64).collect()}
+    s = np.round(unit(x[:600].ravel(), 64) @ unit(x[:600].ravel(), 64).T, 6)
+    np.fill_diagonal(s, -1)
+    want = {(min(i, j), max(i, j)) for i in range(600) for j in np.argsort(-s[i], kind="stable")[:5].tolist() if s[i, j] >= 0.9}
+    assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
 def test_the_scheme_grows_with_the_rows():
     sizes = [scheme(n) for n in (0, 1000, 200_000, 2_000_000, 200_000_000)]
     assert sizes[0] == sizes[1] == sizes[2] and sizes == sorted(sizes) and sizes[4][0] < 60
