@@ -99,7 +99,6 @@ _decline_words = [w.replace("\u00a0", " ") for w in re.split(r"[ \n]+", DECLINE_
 _names = {c: "|".join(v.split()) for c, v in LANGUAGE_NAMES.items()}
 _asks = {c: re.compile(rf"(?:(?:{VERBS})\b[^.:：。?？]{{0,24}}?(?:{n})|(?:用|以|使用)\s*(?:{n})|(?:{n})(?:で|作答|回答))", re.I) for c, n in _names.items()}
 _any_name = sorted({w.split("\\s+")[-1] for v in _names.values() for w in v.split("|")})
-_tail = re.compile(r"(\S+)\s*$")
 _OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』", "【": "】", "«": "»", "“": "”", "„": "“"}
 _end_mark = re.compile(r"[.!?。！？…।」』）)\"”“»\]}]$")
 

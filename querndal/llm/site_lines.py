@@ -21,7 +21,6 @@ have no result; repeated rows count singly; a line twice in one row counts once
 from __future__ import annotations
 
 import functools
-import re
 import unicodedata
 from collections.abc import Iterator
 
